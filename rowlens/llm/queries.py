@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rowlens.llm import exact_dedup, mixing
+from rowlens.llm import exact_dedup, mixing, packing, wavelet
 from rowlens.llm.common import table
 
 
@@ -10,12 +10,31 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def _tokenizer(name):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+def op5_wavelet_output(spark, sf_dir):
+    return wavelet.round_trip(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), keeps_spaces=False)
+
+
 def op4_source_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {"op1_exact_dedup": op1_exact_dedup, "op4_source_mixing": op4_source_mixing}
+    return {
+        "op1_exact_dedup": op1_exact_dedup,
+        "op2_best_fit_packing": op2_best_fit_packing,
+        "op4_source_mixing": op4_source_mixing,
+        "op5_wavelet_output": op5_wavelet_output,
+    }
 
 
 def oracle_sql():
