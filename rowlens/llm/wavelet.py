@@ -54,12 +54,12 @@ def encode(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
     x = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     planes, zeros = [], np.zeros(bits, "<u8")
     for k in range(bits):
-        ones = (x & x.dtype.type(1 << (bits - 1 - k))).astype(bool)
+        ones = (x & x.dtype.type(1 << (bits - 1 - k))) != 0
         planes.append(np.packbits(ones).tobytes().ljust((n + 63) // 64 * 8, b"\0"))
-        low = x[~ones]
+        low = np.flatnonzero(~ones)  # taking by position is several times faster than by mask
         zeros[k] = len(low)
         if k < bits - 1:
-            x = np.concatenate([low, x[ones]])
+            x = np.concatenate([x.take(low), x.take(np.flatnonzero(ones))])
     raw = b"".join([doc_ids.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(), zeros.tobytes(), *planes])
     return HEAD.pack(MAGIC, 1, bits, 0, n, len(doc_ids), len(raw)) + zstandard.ZstdCompressor(level=1).compress(raw)
 
@@ -160,8 +160,8 @@ class WaveletMatrix:
         for k in reversed(range(self.bits)):
             ones = np.unpackbits(self.planes[k], count=self.n).astype(bool)
             back = np.empty_like(x)
-            back[~ones] = x[: self.zeros[k]]
-            back[ones] = x[self.zeros[k] :] | x.dtype.type(1 << (self.bits - 1 - k))
+            back[np.flatnonzero(~ones)] = x[: self.zeros[k]]
+            back[np.flatnonzero(ones)] = x[self.zeros[k] :] | x.dtype.type(1 << (self.bits - 1 - k))
             x = back
         return x
 
