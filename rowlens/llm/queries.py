@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rowlens.llm import exact_dedup, mixing, packing, wavelet
+from rowlens.llm import exact_dedup, mixing, packing, repeats, wavelet
 from rowlens.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op5_wavelet_output(spark, sf_dir):
     return wavelet.round_trip(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), keeps_spaces=False)
 
 
+def op3_repeated_passages(spark, sf_dir):
+    return repeats.remove(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def queries():
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_repeated_passages": op3_repeated_passages,
         "op4_source_mixing": op4_source_mixing,
         "op5_wavelet_output": op5_wavelet_output,
     }
