@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rowlens.llm import exact_dedup, mixing, packing, repeats, wavelet
+from rowlens.llm import exact_dedup, mixing, packing, repeats, syncmers, wavelet
 from rowlens.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op4_source_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_syncmer_fingerprints(spark, sf_dir):
+    return syncmers.neighbours(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -39,6 +43,7 @@ def queries():
         "op3_repeated_passages": op3_repeated_passages,
         "op4_source_mixing": op4_source_mixing,
         "op5_wavelet_output": op5_wavelet_output,
+        "op6_syncmer_fingerprints": op6_syncmer_fingerprints,
     }
 
 
