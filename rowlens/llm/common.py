@@ -70,3 +70,22 @@ def text_of(docs: DataFrame):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def retain(docs: DataFrame, by: dict, marks: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with all their columns.
+
+    by: names and expressions over docs that identify a document. marks: those
+    names, stays, and copies, the number of rows; rows without a mark stay. Of
+    several rows with one identity that stays, one does, chosen by a partial
+    aggregate rather than a window.
+    """
+    own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[docs[c].alias(own[c]) for c in docs.columns], *[e.alias(f"_by_{n}") for n, e in by.items()])
+    same = None
+    for n in by:
+        one = F.col(f"_by_{n}").eqNullSafe(F.col(n))
+        same = one if same is None else same & one
+    once = rows.join(marks.filter("not stays or copies > 1"), same, "left_anti")
+    again = rows.join(marks.filter("stays and copies > 1"), same, "left_semi").dropDuplicates([f"_by_{n}" for n in by])
+    return once.unionByName(again).select(*[F.col(own[c]).alias(c) for c in docs.columns])

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowlens.llm.common import cut, ship, text_of
+from rowlens.llm.common import cut, retain, ship, text_of
 
 #: What [\x20\x09-\x0D] stands for.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -112,26 +112,13 @@ def groups(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 
 def dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """The rows of docs that stay, with all their columns.
-
-    Rows that tie in text, length and doc_id are the same document read twice;
-    one of them stays, chosen by a partial aggregate rather than a window.
-    """
+    """The rows of docs that stay, with all their columns."""
     hot, rest = split(_rows(docs), counters)
     lost = hot.unionByName(rest).filter(F.col("group_size") > 1)
     lost = lost.select("doc_id", "digest", "n_points", (F.col("top.row_down") == F.bitwise_not(F.col("row"))).alias("stays"))
     marks = cut(lost.groupBy("doc_id", "digest", "n_points").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("copies")))
-    own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    keyed = docs.select(
-        *[docs[c].alias(own[c]) for c in docs.columns],
-        digest_of(docs).alias("_digest"),
-        F.length(text_of(docs)).cast("long").alias("_points"),
-    )
-    same = (F.col("_digest") == F.col("digest")) & (F.col("_points") == F.col("n_points")) & F.col(own["doc_id"]).eqNullSafe(F.col("doc_id"))
-    once = keyed.join(marks.filter("not stays or copies > 1"), same, "left_anti")
-    again = keyed.join(marks.filter("stays and copies > 1"), same, "left_semi")
-    again = again.dropDuplicates(["_digest", "_points", own["doc_id"]])
-    return once.unionByName(again).select(*[F.col(own[c]).alias(c) for c in docs.columns])
+    by = {"doc_id": docs["doc_id"], "digest": digest_of(docs), "n_points": F.length(text_of(docs)).cast("long")}
+    return retain(docs, by, marks)
 
 
 ORACLE = r"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rowlens.llm import exact_dedup, mixing, packing, repeats, syncmers, wavelet
+from rowlens.llm import exact_dedup, jaccard_join, mixing, packing, repeats, syncmers, wavelet
 from rowlens.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op6_syncmer_fingerprints(spark, sf_dir):
     return syncmers.neighbours(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard_join(spark, sf_dir):
+    return jaccard_join.groups(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -44,6 +48,7 @@ def queries():
         "op4_source_mixing": op4_source_mixing,
         "op5_wavelet_output": op5_wavelet_output,
         "op6_syncmer_fingerprints": op6_syncmer_fingerprints,
+        "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     }
 
 
