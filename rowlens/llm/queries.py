@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rowlens.llm import exact_dedup, jaccard_join, mixing, packing, repeats, syncmers, wavelet
+from rowlens.llm import exact_dedup, html_text, jaccard_join, mixing, packing, repeats, secret_scan, syncmers, wavelet
 from rowlens.llm.common import table
 
 
@@ -40,6 +40,14 @@ def op7_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join.groups(table(spark, sf_dir, "documents"))
 
 
+def op9_recursive_secret_scan(spark, sf_dir):
+    return secret_scan.find(table(spark, sf_dir, "documents"))
+
+
+def op10_html_extraction(spark, sf_dir):
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def queries():
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -49,6 +57,8 @@ def queries():
         "op5_wavelet_output": op5_wavelet_output,
         "op6_syncmer_fingerprints": op6_syncmer_fingerprints,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+        "op9_recursive_secret_scan": op9_recursive_secret_scan,
+        "op10_html_extraction": op10_html_extraction,
     }
 
 
