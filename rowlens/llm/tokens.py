@@ -47,7 +47,7 @@ class Encoder:
         self.lengths = np.zeros(1 << 16, np.int64)
         self.starts = np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 18, np.uint32)
-        self.used = 0
+        self.rows = self.used = 0
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -56,7 +56,7 @@ class Encoder:
         """Appends chunks, none known, to the table."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        n, total = len(self.known), int(sizes.sum())
+        n, total = self.rows, int(sizes.sum())
         while n + len(chunks) > len(self.lengths):
             self.lengths, self.starts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lengths, self.starts))
         while self.used + total > len(self.ids):
@@ -65,6 +65,7 @@ class Encoder:
         self.lengths[n : n + len(chunks)] = sizes
         self.starts[n : n + len(chunks)] = self.used + np.cumsum(sizes) - sizes
         self.used += total
+        self.rows += len(chunks)  # which may name one chunk twice
         self.known.update(zip(chunks, range(n, n + len(chunks))))
 
     def _places(self, chunks: list[str]) -> np.ndarray:
@@ -72,10 +73,10 @@ class Encoder:
         get = self.known.get
         at = np.fromiter((get(c, -1) for c in chunks), np.int64, len(chunks))
         if len(new := np.flatnonzero(at < 0)):
-            if len(self.known) + len(new) > MOST_CHUNKS:
+            if self.rows + len(new) > MOST_CHUNKS:
                 self._forget()
                 at[:], new = -1, np.arange(len(chunks))
-            n = len(self.known)
+            n = self.rows
             self._learn([chunks[i] for i in new])
             at[new] = np.arange(n, n + len(new))
         return at
