@@ -205,10 +205,25 @@ def json_key_union(data: DataFrame, record: Column, most: int = SAMPLE_RECORDS)
     return firsts.select("key", (F.row_number().over(Window.orderBy("first")) - 1).alias("position"))  # at most the sample's keys
 
 
+def _last_value(entries: Column, key: str) -> Column:
+    return F.try_element_at(F.filter(entries, lambda e: e.key == F.lit(key)), F.lit(-1)).value
+
+
+def json_fields(record: Column, keys: list[str]) -> list[Column]:
+    """Fields of an object's text as cells: null or missing is empty, nested values are compact JSON, the last of equal keys counts."""
+    t = F.btrim(record, F.lit(SPACES))
+    whole = F.when(t.startswith("{"), t)
+    if len({k.lower() for k in keys}) == len(keys):
+        parsed = F.from_json(whole, T.StructType([T.StructField(k, T.StringType()) for k in keys]))
+        found = [parsed.getField(k) for k in keys]
+    else:  # names that differ in case only can't be told apart in a struct
+        entries = F.map_entries(F.from_json(whole, "map<string,string>"))
+        found = [_last_value(entries, k) for k in keys]
+    return [F.coalesce(F.when(~v.isin('"Infinity"', '"-Infinity"'), v), F.lit("")) for v in found]
+
+
 def json_field(record: Column, key: str) -> Column:
-    """A field of an object's text as a cell: null or missing is empty, nested values are compact JSON."""
-    value = F.try_element_at(F.from_json(record, "map<string,string>"), F.lit(key))
-    return F.coalesce(F.when(~value.isin('"Infinity"', '"-Infinity"'), value), F.lit(""))
+    return json_fields(record, [key])[0]
 
 
 def _json_source(spark: SparkSession, path: str, fmt: Format, records: DataFrame, encoding: str) -> Source:
@@ -220,9 +235,9 @@ def _json_source(spark: SparkSession, path: str, fmt: Format, records: DataFrame
         values = whole if fmt is Format.JSON_LINES else F.col("raw")
         data = records.withColumn("strict", _strict(F.col("raw"))).select(RID, F.coalesce(values, F.lit("")).alias("c0"))
         return Source(path, fmt, data, TableSchema((ColumnInfo(0, "value"),)), None, encoding)
-    data = records.withColumn("map", F.from_json(_strict(F.col("raw")), "map<string,string>"))
-    cells = [F.try_element_at("map", F.lit(c.name)) for c in columns]
-    return Source(path, fmt, data.select(RID, *[F.coalesce(v, F.lit("")).alias(c.field) for v, c in zip(cells, columns)]), TableSchema(tuple(columns)), None, encoding)
+    cells = json_fields(F.col("strict"), [c.name for c in columns])
+    data = records.withColumn("strict", _strict(F.col("raw"))).select(RID, *[v.alias(c.field) for v, c in zip(cells, columns)])
+    return Source(path, fmt, data, TableSchema(tuple(columns)), None, encoding)
 
 
 def read_json_lines(spark: SparkSession, path: str) -> Source:

@@ -37,6 +37,13 @@ def test_malformed_lines_keep_their_ordinal(spark, tmp_path):
     assert cells(v) == [["1"], [""], [""], [""], [""], ["6"]]
 
 
+def test_names_that_differ_in_case_or_have_dots(spark, tmp_path):
+    v = opened(spark, tmp_path, '{"a":1,"A":2,"b.c":3,"":4}\n{"A":5,"a":6,"A":7}\n')
+    assert cells(v) == [["1", "2", "3", "4"], ["6", "7", "", ""]]
+    v = opened(spark, tmp_path, '{"b.c":3,"":4,"d`e":5}\n', name="b.json")
+    assert cells(v) == [["3", "4", "5"]]
+
+
 def test_keys_after_the_sample_are_no_columns(spark, tmp_path):
     v = opened(spark, tmp_path, "".join(f'{{"i":{i}}}\n' for i in range(200)) + '{"i":200,"late":1}\n')
     assert v.source.schema.names() == ["i"] and v.count() == 201
