@@ -12,9 +12,13 @@ group is dropped, and one whose whole stretch has an equal is decided:
    by it, and most, being alone, end here.
 2. The digit is the run's whole stretch of bytes. Runs that are equal throughout
    are decided without looking at their suffixes.
-3. Only where one string heads different stretches, one run of each kind is
-   spelled out: the digit is the full window. Small groups do this side by side
-   in one task; the windows of large ones are shuffled by their digits.
+3. Only where one string heads different stretches, one run of each kind goes
+   on. Small groups compare their full windows side by side in one task.
+4. Runs of large groups are cut into blocks of ``STEP`` starts, aligned to the
+   first digit. The digit is what all windows of a block have in common; blocks
+   alone with theirs end here, and those equal throughout are decided.
+5. One block of each kind that is left is spelled out, and its full windows are
+   shuffled.
 
 Digits are 64-bit hashes, always compared along with the first, 128 bits in
 all, so groups come in no lexicographic order, which the result does not need.
@@ -40,8 +44,9 @@ from rowlens.llm.rolling import Prefix, mix, sliding_min
 DEPTH = 200
 #: Length of the first digit.
 HEAD = 48
-#: Groups with more kinds of runs than this are shuffled by window.
-LARGE = 64
+#: Groups with more kinds of runs than this (some 300 bytes each) don't meet in one task.
+LARGE = 256
+STEP = 16
 #: Window starts that are handled at once; their places fit LOW.
 CHUNK = 1 << 21
 LOW = np.uint64((1 << 22) - 1)
@@ -189,6 +194,43 @@ def _small(depth: int):
     return run
 
 
+def _blocks(depth: int, head: int):
+    """Of stretches, their blocks: digit, core, whole, key, pos, bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in (batch.slice(i, 2048) for i in range(0, len(batch), 2048)):
+                digit, key, pos = (piece.column(i).to_numpy() for i in range(3))
+                parts = piece.column(3).to_pylist()
+                bounds = np.cumsum([0, *map(len, parts)])
+                data = np.frombuffer(b"".join(parts), np.uint8)
+                prefix = Prefix(data)
+                more = np.diff(bounds) - depth  # the last start
+                # the digit's place: the first from the last start on
+                digits = prefix.all(head)
+                own = np.repeat(np.arange(len(parts)), np.diff(bounds))[: len(digits)]
+                hit = np.flatnonzero((digits.view(np.int64) == digit[own]) & (np.arange(len(digits)) - bounds[own] >= more[own]))
+                _, one = np.unique(own[hit], return_index=True)
+                at = hit[one] - bounds[:-1]
+                which = np.repeat(np.arange(len(parts)), more + 1)
+                start = np.arange(len(which)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+                block = (at[which] - start) // STEP
+                new = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (block[1:] != block[:-1])]))
+                w, lo, b = which[new], start[new], block[new]
+                hi = start[np.concatenate([new[1:], [len(start)]]) - 1]
+                base, a = bounds[w], at[w]
+                core = prefix.of(base + a - b * STEP, base + a - b * STEP - STEP + 1 + depth) ^ mix(b.astype(np.uint64))
+                whole = prefix.of(base + lo, base + hi + depth) ^ mix(((a - lo) << 20 | (hi - lo)).astype(np.uint64))
+                run_pos = (pos[w] >> (SIZE_BITS + LEN_BITS)) + lo << (SIZE_BITS + LEN_BITS) | (hi - lo) << SIZE_BITS | pos[w] % (1 << SIZE_BITS)
+                texts = [data[x:y].tobytes() for x, y in zip((base + lo).tolist(), (base + hi + depth).tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(digit[w]), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(key[w]), pa.array(run_pos), pa.array(texts, pa.binary())],
+                    names=["digit", "core", "whole", "key", "pos", "bytes"],
+                )
+
+    return run
+
+
 def _spell(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,10 +298,19 @@ def repeated(docs: DataFrame, depth: int = DEPTH, head: int = HEAD, large: int =
     spelled = cut(spelled)
     small = spelled.join(several.filter(F.col("kinds") <= large).select("digit"), "digit", "left_semi")
     small = small.repartition("digit").sortWithinPartitions("digit").select("digit", "key", "pos", "bytes").mapInArrow(_small(depth), "key long, pos long")
-    many = spelled.join(several.filter(F.col("kinds") > large).select("digit"), "digit", "left_semi")
-    many = cut(many.select("digit", "key", "pos", "bytes").mapInArrow(_spell(depth), "digit long, window long, key long, pos long"))
-    full = cut(many.groupBy("digit", "window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digit", "window"))
-    many = many.join(full, ["digit", "window"], "left_semi").select("key", "pos")
+    many = spelled.join(several.filter(F.col("kinds") > large).select("digit"), "digit", "left_semi").select("digit", "key", "pos", "bytes")
+    # 4: blocks by what their windows have in common
+    blocks = cut(many.mapInArrow(_blocks(depth, head), "digit long, core long, whole long, key long, pos long, bytes binary"))
+    shapes = blocks.groupBy("digit", "core", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "pos", "bytes")).alias("one"))
+    shapes = cut(shapes.select("digit", "core", "whole", "n", "one.key", "one.pos", "one.bytes"))
+    alike = shapes.filter("n > 1").select("digit", "core", "whole")
+    alike = blocks.select("digit", "core", "whole", "key", "pos").join(alike, ["digit", "core", "whole"], "left_semi").select("key", "pos")
+    # 5: full windows of one block of each kind, where several have a core
+    unlike = shapes.groupBy("digit", "core").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("digit", "core")
+    unlike = shapes.join(unlike, ["digit", "core"], "left_semi").select("digit", "key", "pos", "bytes")
+    windows = cut(unlike.mapInArrow(_spell(depth), "digit long, window long, key long, pos long"))
+    full = cut(windows.groupBy("digit", "window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digit", "window"))
+    many = alike.unionByName(windows.join(full, ["digit", "window"], "left_semi").select("key", "pos"))
     return equal.unionByName(small).unionByName(many).distinct()
 
 
