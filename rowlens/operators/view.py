@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from rowlens.functions.ordering import order_by
 from rowlens.functions.patterns import compile_filter
 from rowlens.functions.predicates import any_matches, cell_matches, row_filter
-from rowlens.model import RID, DataQuality, FilterSpec, RowCount, RowRange, SortKey, Viewport, ViewSpec
+from rowlens.model import RID, DataQuality, Dialect, FilterSpec, RowCount, RowRange, SortKey, Viewport, ViewSpec
 from rowlens.sources.ordinals import positions
 from rowlens.sources.readers import Source
 
@@ -49,6 +49,15 @@ class TableView:
     def cleared(self) -> TableView:
         return replace(self, spec=ViewSpec())
 
+    def reopened(self, dialect: Dialect) -> TableView:
+        """The same delimited file read otherwise, under the same filter, and the same sort if it still has that column."""
+        from rowlens.sources.readers import read_delimited
+
+        s = self.source
+        again = TableView(read_delimited(s.data.sparkSession, s.path, dialect, s.encoding))
+        key = self.spec.sort
+        return again.with_spec(replace(self.spec, sort=key if key is None or key.column < len(again.source.schema) else None))
+
     def rows(self) -> DataFrame:
         """The source's rows that the filter keeps, in no order."""
         s, f = self.source, self.spec.filter

@@ -174,3 +174,12 @@ def test_copy(spark, tmp_path):
 def test_sql_view(spark, tmp_path):
     opened(spark, tmp_path, "a,b,b\n1,2,3\n").create_view("rowlens_t")
     assert spark.table("rowlens_t").columns == ["a", "c1", "c2"]
+
+
+def test_reopening_keeps_the_view(spark, tmp_path):
+    v = opened(spark, tmp_path, "a;b\n2;x\n1;x\n3;y\n", Dialect(","))
+    assert len(v.source.schema) == 1
+    v = v.filtered("x").reopened(Dialect(";"))
+    assert cells(v) == [["2", "x"], ["1", "x"]]
+    v = v.sorted(SortKey(1)).reopened(Dialect(","))
+    assert v.spec == ViewSpec(FilterSpec("x")) and len(v.source.schema) == 1
