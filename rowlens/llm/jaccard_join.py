@@ -254,7 +254,8 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     # The texts of the classes that have a hub; of equal rows, one.
     asked = cut(hubs.join(classes.select("class", "copies", "doc_id", "tie"), "class"))
     texts = docs.select(docs["doc_id"].cast("long").alias("_id"), F.xxhash64(text_of(docs)).alias("_tie"), text_of(docs).alias("text"))
-    got = texts.join(asked.select("class", "doc_id", "tie"), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tie") == F.col("tie")))
+    wanted = asked.select("class", "doc_id", "tie").hint("merge")  # grows with the corpus: never broadcast, however small a part is
+    got = texts.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tie") == F.col("tie")))
     packed = got.select("class", "text").mapInArrow(_packer, "class long, packed binary")
     packed = cut(packed.groupBy("class").agg(F.first("packed").alias("packed")))
     side = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
