@@ -6,8 +6,11 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,3 +92,29 @@ def retain(docs: DataFrame, by: dict, marks: DataFrame) -> DataFrame:
     once = rows.join(marks.filter("not stays or copies > 1"), same, "left_anti")
     again = rows.join(marks.filter("stays and copies > 1"), same, "left_semi").dropDuplicates([f"_by_{n}" for n in by])
     return once.unionByName(again).select(*[F.col(own[c]).alias(c) for c in docs.columns])
+
+
+_holder: tuple[str, Callable[[], None]] | None = None
+
+
+def claim(owner: str, clear: Callable[[], None]) -> None:
+    """Called by what keeps a large table in a worker: the table of any other owner goes.
+
+    Workers outlive stages, and so would the tables of all operators that have
+    run in them.
+    """
+    global _holder
+    if _holder is not None and _holder[0] != owner:
+        _holder[1]()
+    _holder = owner, clear
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of up to so many bytes of a text column, or of one row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
+        i = 0
+        while i < len(batch):
+            j = max(i + 1, int(sizes.searchsorted((sizes[i - 1] if i else 0) + most, "right")))
+            yield batch.slice(i, j - i)
+            i = j

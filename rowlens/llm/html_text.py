@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowlens.llm.common import ship
+from rowlens.llm.common import ship, sliced
 
 #: Share of link text from which a block is links; of stop words for text; code points of short and of long blocks.
 LINKS, STOPS_LOW, STOPS_HIGH, SHORT, LONG = 0.5, 0.15, 0.25, 70, 200
@@ -225,7 +225,7 @@ def extract(page: str | None) -> str:
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches, 2):
         texts = [extract(x.as_py()) for x in batch.column(2)]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]

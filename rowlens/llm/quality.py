@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowlens.llm.common import ship, text_of
+from rowlens.llm.common import claim, ship, sliced, text_of
 from rowlens.llm.html_text import STOP_WORDS
 from rowlens.llm.jaccard_join import _HASHES, _WORD
 
@@ -79,6 +79,7 @@ _STOPS = frozenset(_HASHES[w] for w in STOP_WORDS)
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers, each once, and values of a text."""
     raw = np.frombuffer(text.encode(), np.uint8)
+    claim("words", _HASHES.clear)
     share = np.zeros(len(_STATS))
     n = max(1, len(raw))
     share[:_COUNTED] = np.bincount(_KINDS[raw], minlength=_COUNTED) / n
@@ -165,7 +166,7 @@ def held_out(doc_id) -> F.Column:
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches, 1):
         found = [features(t) for t in batch.column(1).to_pylist()]
         ids, values = ([x[i].tobytes() for x in found] for i in (0, 1))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(values, pa.binary())], names=["label", "ids", "values"])
@@ -190,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 def _scorer(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine: Machine = model.value
-        for batch in batches:
+        for batch in sliced(batches, 2):
             found = [features(t) for t in batch.column(2).to_pylist()]
             scores = np.zeros(len(found))
             for i in range(0, len(found), 512):
@@ -212,18 +213,15 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     return rows.mapInArrow(_scorer(model), "doc_id long, held_out boolean, score double, predicted int")
 
 
-def _sieve(model):
+def _sieve(model, text: int):
     score_batches = _scorer(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, text):
             n = len(batch)
-            texts = pa.RecordBatch.from_arrays([pa.nulls(n), pa.nulls(n), batch.column(n_cols(batch) - 1)], names=["a", "b", "c"])
-            kept = next(score_batches(iter([texts]))).column(3).to_numpy() == 1
-            yield batch.select(list(range(n_cols(batch) - 1))).filter(pa.array(kept))
-
-    def n_cols(batch: pa.RecordBatch) -> int:
-        return len(batch.schema)
+            texts = pa.RecordBatch.from_arrays([pa.nulls(n), pa.nulls(n), batch.column(text)], names=["a", "b", "c"])
+            kept = np.concatenate([b.column(3).to_numpy() == 1 for b in score_batches(iter([texts]))])
+            yield batch.select(list(range(text))).filter(pa.array(kept))
 
     return run
 
@@ -236,4 +234,4 @@ def keep(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     names = [f"_c{i}" for i in range(len(docs.columns))]  # names may clash
     rows = docs.toDF(*names).select(*names, F.coalesce(F.col(names[docs.columns.index("text")]).cast("string"), F.lit("")).alias("_text"))
     schema = StructType([StructField(n, f.dataType, True) for n, f in zip(names, docs.schema.fields)])
-    return rows.mapInArrow(_sieve(model), schema).toDF(*docs.columns)
+    return rows.mapInArrow(_sieve(model, len(names)), schema).toDF(*docs.columns)

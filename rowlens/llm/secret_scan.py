@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowlens.llm.common import ship, text_of
+from rowlens.llm.common import ship, sliced, text_of
 
 #: Kinds, in the order in which equal starts are listed.
 KINDS = ("assign", "access", "hex")
@@ -213,7 +213,7 @@ def _said(spans: list[tuple[str, int, int]]) -> str:
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches, 1):
         counts: dict[str, list[int]] = {k: [] for k in KINDS}
         shas, spans = [], []
         for text in batch.column(1):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowlens.llm.common import partitions, ship, text_of
+from rowlens.llm.common import partitions, ship, sliced, text_of
 from rowlens.llm.rolling import Prefix, sliding_min
 
 K, S, BINS = 12, 4, 128
@@ -120,7 +120,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     rows: list[tuple] = []
     carry, size = None, 0
-    for batch in batches:
+    for batch in sliced(batches, 3):
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if rows and row[0] != rows[-1][0]:  # a new part
                 if len(rows) > 1:

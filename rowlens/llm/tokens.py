@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from rowlens.llm.common import claim
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Unicode white space, as the tokenizers' patterns have it, and the controls that Python counts too.
@@ -115,6 +117,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, in order; null counts as empty."""
+        claim(f"chunks of {id(self)}", self._forget)
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         i = 0
