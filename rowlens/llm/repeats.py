@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowlens.llm.common import cut, ship, text_of
+from rowlens.llm.common import cut, ship, sliced, text_of
 from rowlens.llm.rolling import Prefix, mix, sliding_min
 
 DEPTH = 200
@@ -97,7 +97,7 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 def _scan(depth: int, head: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             texts = _texts(batch.column(1))
             sizes = np.array([len(t) for t in texts], np.int64)
@@ -121,7 +121,7 @@ def _stretches(depth: int):
     """Of documents and the runs asked for, each run's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             key, texts, digits, poss = batch.column(0).to_pylist(), _texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()
             cols: list[list] = [[], [], [], []]
             for k, t, ds, ps in zip(key, texts, digits, poss):
@@ -247,7 +247,7 @@ def _spell(depth: int):
 
 def _keep(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             cols: list[list] = [[], [], [], []]
             for t, spans in zip(_texts(batch.column(1)), batch.column(2).to_pylist()):
                 n, kept, removed, count, at = len(t), hashlib.sha256(), 0, 0, 0
@@ -282,7 +282,9 @@ def repeated(docs: DataFrame, depth: int = DEPTH, head: int = HEAD, large: int =
     # 1: digits that head more than one run
     heads = cut(all_runs.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digit"))
     left = all_runs.join(heads, "digit", "left_semi")
-    left = cut(left.groupBy("digit", "stretch", "key", "pos").agg(F.count(F.lit(1)).alias("n")))  # copies of a text as one
+    # Copies of a text become one. Grouped by the digit itself, the join's tasks would have to keep a frequent one whole.
+    left = left.groupBy(F.bitwise_not("digit").alias("not_digit"), "stretch", "key", "pos").agg(F.count(F.lit(1)).alias("n"))
+    left = cut(left.select(F.bitwise_not("not_digit").alias("digit"), "stretch", "key", "pos", "n"))
     # 2: equal stretches
     kinds = left.groupBy("digit", "stretch").agg(F.sum("n").alias("n"), F.min(F.struct("key", "pos")).alias("one"))
     kinds = cut(kinds.select("digit", "stretch", "n", "one.key", "one.pos"))
