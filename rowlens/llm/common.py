@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -14,6 +17,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of one Arrow batch.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)
+
 _SHIPPED: set[str] = set()
 _OWN_SCRATCH: dict[str, str] = {}
 
@@ -22,8 +29,11 @@ def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application.
 
     Python workers then import the operators by name, whatever PYTHONPATH they
-    were started with, and keep their caches between tasks.
+    were started with, and keep their caches between tasks. What a worker gets
+    at once is bounded in bytes, as rows can be long.
     """
+    if spark.conf.get(_BATCH_CONF).rstrip("b") == _BATCH_DEFAULT:  # else the session has its own bound
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -106,6 +116,9 @@ def claim(owner: str, clear: Callable[[], None]) -> None:
     global _holder
     if _holder is not None and _holder[0] != owner:
         _holder[1]()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only some C libraries can give memory back
+            ctypes.CDLL(None).malloc_trim(0)
     _holder = owner, clear
 
 
