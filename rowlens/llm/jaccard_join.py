@@ -41,7 +41,7 @@ WORDS, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 6
 #: Classes that one task verifies against each other.
 BLOCK = 512
 _WORD = re.compile(r"\w+")
-_MOST_WORDS = 300_000
+_MOST_WORDS = 200_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -31,6 +31,8 @@ from rowlens.llm.tokens import encoder
 
 CAPACITY = 1024
 END_ID = 2
+#: Distinct chunks of text that a worker keeps the ids of.
+KEPT_CHUNKS = 600_000
 
 Pattern = tuple[int, ...]
 
@@ -159,7 +161,7 @@ def _cutter(path: str, keeps_spaces: bool, capacity: int, end_id: int):
         part = TaskContext.get().partitionId()
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(path, keeps_spaces).encode(batch.column(1))):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(path, keeps_spaces, KEPT_CHUNKS).encode(batch.column(1))):
                 ids = np.append(ids, end_id).astype("<u4")
                 first = len(ids) % capacity or capacity
                 for piece, start in enumerate([0, *range(first, len(ids), capacity)]):

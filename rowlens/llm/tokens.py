@@ -25,7 +25,7 @@ _WS = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\
 _UNSAFE = rf"\x1f|[ \n][{_WS}]|[{_WS}][ \n]"
 #: Bounds of memory: distinct chunks that a worker keeps, and bytes of text cut at once.
 MOST_CHUNKS = 1_000_000
-MOST_BYTES = 4 << 20
+MOST_BYTES = 2 << 20
 LONGEST_CHUNK = 64
 
 
@@ -36,12 +36,13 @@ class Encoder:
     (byte-level); otherwise it drops white space between words.
     """
 
-    def __init__(self, path: str, keeps_spaces: bool):
+    def __init__(self, path: str, keeps_spaces: bool, most_chunks: int | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # in a text, their strings are ordinary text
         self.keeps_spaces = keeps_spaces
+        self.most_chunks = most_chunks
         self._forget()
 
     def _forget(self) -> None:
@@ -75,7 +76,7 @@ class Encoder:
         get = self.known.get
         at = np.fromiter((get(c, -1) for c in chunks), np.int64, len(chunks))
         if len(new := np.flatnonzero(at < 0)):
-            if self.rows + len(new) > MOST_CHUNKS:
+            if self.rows + len(new) > (self.most_chunks or MOST_CHUNKS):
                 self._forget()
                 at[:], new = -1, np.arange(len(chunks))
             n = self.rows
@@ -130,8 +131,8 @@ class Encoder:
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str, keeps_spaces: bool) -> Encoder:
+def encoder(path: str, keeps_spaces: bool, most_chunks: int | None = None) -> Encoder:
     """This worker's encoder for a file; its table of chunks serves all tasks."""
     if (path, keeps_spaces) not in _ENCODERS:
-        _ENCODERS[path, keeps_spaces] = Encoder(path, keeps_spaces)
+        _ENCODERS[path, keeps_spaces] = Encoder(path, keeps_spaces, most_chunks)
     return _ENCODERS[path, keeps_spaces]
