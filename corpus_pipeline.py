@@ -5,6 +5,7 @@
 3. near: of each group of documents linked by their n-grams, one stays.
 4. mix: the documents are put into the order in which their sources interleave by target weight.
 5. pack: documents are tokenized and packed into sequences; one row per piece.
+   Pieces of a length are dealt, and sequences numbered, in the mixture's order.
 
 All stages but the last return the columns of their input. SQL cannot express
 the first and the third, so there is no ORACLE_SQL; the tests hold the stages
@@ -39,7 +40,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer(TOKENIZER))
+    docs, order = mixing.written_order(docs)
+    return packing.pack(docs, tokenizer(TOKENIZER), order=order)
 
 
 STAGES = [("quality", quality_stage), ("exact", exact_stage), ("near", near_stage), ("mix", mix_stage), ("pack", pack_stage)]

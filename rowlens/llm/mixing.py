@@ -110,6 +110,19 @@ def mix(
     return out.select("doc_id", "source", "amount", "start", "block", "slot")
 
 
+def written_order(mixed: DataFrame) -> tuple[DataFrame, tuple[str, str]]:
+    """mixed as read from the files that ``mix`` with keep was written to, with its rows' places, and the names of these two columns.
+
+    A sorted result is written in files numbered by its order, each in order;
+    but they are read in splits of any order. So a row's place is that in its
+    file, in groups of at most ROWS_PER_BUCKET rows.
+    """
+    number = "coalesce(try_cast(regexp_extract(_metadata.file_name, '{}', 1) as bigint), 0)"
+    file = f"shiftleft({number.format('^part-([0-9]+)-')}, 10) + {number.format('-c([0-9]+)[.]')}"
+    group = F.expr(f"shiftleft({file}, 29) + _metadata.row_index div {ROWS_PER_BUCKET}L")
+    return mixed.withColumns({"_group": group, "_place": F.col("_metadata.row_index")}), ("_group", "_place")
+
+
 ORACLE = f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(source, '') AS source, length(coalesce(text, ''))::BIGINT AS amount,

@@ -7,7 +7,9 @@ however large the corpus. Over these counts the reduction of Martello and Toth
 fixes, again and again, sets of up to three lengths that dominate every other
 set with the longest of them; what is left goes best fit, longest first. The
 plan is a bounded table of patterns with multiplicities; each piece finds its
-sequence by its rank among the pieces of its length.
+sequence by its rank among the pieces of its length. Where the documents have
+an order, ranks follow it, and the sequences are numbered by their first piece
+in it.
 
 Defined cases: a null or empty text is one piece, the end id alone; equal rows
 are packed each on its own; an empty table gives an empty result; other columns
@@ -160,36 +162,60 @@ def _cutter(path: str, keeps_spaces: bool, capacity: int, end_id: int):
         seen = np.zeros(capacity + 1, np.int64)
         part = TaskContext.get().partitionId()
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(path, keeps_spaces, KEPT_CHUNKS).encode(batch.column(1))):
+            cols: list[list] = [[] for _ in range(8)]
+            places = [batch.column(i).to_pylist() for i in range(2, batch.num_columns)] or [[part] * len(batch), [0] * len(batch)]
+            for doc_id, group, place, ids in zip(batch.column(0).to_pylist(), *places, encoder(path, keeps_spaces, KEPT_CHUNKS).encode(batch.column(1))):
                 ids = np.append(ids, end_id).astype("<u4")
                 first = len(ids) % capacity or capacity
                 for piece, start in enumerate([0, *range(first, len(ids), capacity)]):
                     size = first if start == 0 else capacity
-                    for col, x in zip(cols, (doc_id, piece, start, size, zlib.crc32(ids[start : start + size].data), int(seen[size]))):
+                    for col, x in zip(cols, (doc_id, piece, start, size, zlib.crc32(ids[start : start + size].data), int(seen[size]), group, place)):
                         col.append(x)
                     seen[size] += 1
-            doc, piece, start, size, crc, nth = cols
+            doc, piece, *others = cols
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, size, crc, nth)), pa.array([part] * len(doc), pa.int32())],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "nth", "part"],
+                [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in others)],
+                names=["doc_id", "piece", "start", "length", "ids_crc32", "nth", "part", "place"],
             )
 
     return run
 
 
-def pieces(docs: DataFrame, tokenizer: str, keeps_spaces: bool = True, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """The pieces of every document; nth counts those of a length within a partition, part."""
+def pieces(docs: DataFrame, tokenizer: str, keeps_spaces: bool = True, capacity: int = CAPACITY, end_id: int = END_ID, order: tuple[str, str] | None = None) -> DataFrame:
+    """The pieces of every document; nth counts those of a length within a partition, part.
+
+    order: columns of docs, a group of rows and the place within it, both whole
+    numbers, by which the documents are ordered; then these are part and place,
+    and nth means nothing.
+    """
     ship(docs.sparkSession)
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, nth long, part int"
-    rows = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, nth long, part long, place long"
+    rows = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"), *[docs[c].cast("long") for c in order or ()])
     return cut(rows.mapInArrow(_cutter(tokenizer, keeps_spaces, capacity, end_id), schema))
 
 
-def pack(docs: DataFrame, tokenizer: str, keeps_spaces: bool = True, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset; one row per piece."""
+def _numbered(found: DataFrame) -> DataFrame:
+    """found with its sequences numbered by their first pieces in the documents' order."""
+    spark = found.sparkSession
+    found = cut(found)
+    first = found.groupBy("sequence_id").agg(F.min(F.struct("part", "place", "doc_id", "piece")).alias("first"))
+    first = cut(first.withColumn("part", F.col("first.part")))
+    before, total = [], 0
+    for r in first.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():  # one row per group of documents
+        before.append((r["part"], total))
+        total += r["n"]
+    offsets = F.broadcast(spark.createDataFrame(before, "part long, before long"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy("first")) - 1
+    number = first.withColumn("within", within).join(offsets, "part").select("sequence_id", (F.col("before") + F.col("within")).alias("number"))
+    return found.join(number, "sequence_id").withColumn("sequence_id", F.col("number"))
+
+
+def pack(
+    docs: DataFrame, tokenizer: str, keeps_spaces: bool = True, capacity: int = CAPACITY, end_id: int = END_ID, order: tuple[str, str] | None = None
+) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset; one row per piece. order: as for pieces."""
     spark = docs.sparkSession
-    cuts = pieces(docs, tokenizer, keeps_spaces, capacity, end_id)
+    cuts = pieces(docs, tokenizer, keeps_spaces, capacity, end_id, order)
     counts = cuts.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     table = spark.createDataFrame(
@@ -197,16 +223,12 @@ def pack(docs: DataFrame, tokenizer: str, keeps_spaces: bool = True, capacity: i
         "length long, ranks array<long>, sequences array<long>, places array<long>, offsets array<long>",
     )
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if order:
+        cuts = cuts.withColumn("nth", F.row_number().over(Window.partitionBy("length", "part").orderBy("place", "doc_id", "piece")).cast("long") - 1)
     ranked = cuts.join(counts.select("length", "part", before.alias("before")), ["length", "part"])
     found = ranked.join(F.broadcast(table), "length")  # at most `capacity` rows, from a bounded plan
     found = found.withColumn("rank", F.col("before") + F.col("nth")).withColumn("i", F.expr("size(filter(ranks, x -> x <= rank))"))
     found = found.withColumn("k", F.expr("places[i - 1]")).withColumn("r", F.expr("rank - ranks[i - 1]"))
-    return found.select(
-        "doc_id",
-        "piece",
-        "start",
-        "length",
-        "ids_crc32",
-        F.expr("sequences[i - 1] + r div k").alias("sequence_id"),
-        F.expr("offsets[i - 1] + (r % k) * length").alias("offset"),
-    )
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    found = found.withColumn("sequence_id", F.expr("sequences[i - 1] + r div k")).withColumn("offset", F.expr("offsets[i - 1] + (r % k) * length"))
+    return (_numbered(found.select(*columns, "part", "place")) if order else found).select(*columns)

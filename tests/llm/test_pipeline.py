@@ -54,3 +54,18 @@ def test_stages(spark):
     assert packed.groupby("sequence_id").length.sum().max() <= 1024
     again = corpus_pipeline.run(spark, SF).toPandas()
     assert Counter(zip(again.doc_id, again.piece, again.length)) == Counter(zip(packed.doc_id, packed.piece, packed.length))
+
+
+def test_sequences_follow_the_mixture(spark, tmp_path):
+    from rowlens.llm import mixing
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    place = {r.doc_id: (r.slot, r.start, r.doc_id) for r in mixing.mix(docs).collect()}
+    mixing.mix(docs, keep=True).write.option("maxRecordsPerFile", 40).parquet(str(tmp_path / "mixed"))
+    packed = corpus_pipeline.pack_stage(spark, spark.read.parquet(str(tmp_path / "mixed")), SF).toPandas()
+    assert set(packed.doc_id) == set(place) and packed.groupby("sequence_id").length.sum().max() <= 1024
+    packed["place"] = [(*place[d], p) for d, p in zip(packed.doc_id, packed.piece)]
+    first = packed.groupby("sequence_id").place.min()
+    assert list(first.index) == list(range(len(first))) and list(first) == sorted(first)
+    full = packed[packed.length == 1024].sort_values("place")
+    assert len(full) > 10 and full.sequence_id.is_monotonic_increasing
