@@ -22,8 +22,10 @@ import binascii
 import hashlib
 import re
 import zlib
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,9 +43,10 @@ LEAST = {"assign": 6, "access": 20}
 #: Most bytes that one compressed layer may unpack to.
 MOST_BYTES = 1 << 24
 
-_TOKEN = re.compile(r"\S+")
-_ESCAPE = re.compile(r"%([0-9A-Fa-f]{2})")
-_UNICODE_ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+_UNICODE_ONE = re.compile(
+    r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});|&([A-Za-z][A-Za-z0-9]{1,31};)"
+)
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _HEXED = re.compile(r"(?:[0-9a-fA-F]{2}){12,}")
 _PACKED = ((b"\x1f\x8b", 31), (b"\x78\x01", 15), (b"\x78\x5e", 15), (b"\x78\x9c", 15), (b"\x78\xda", 15), (b"\x78\xbb", 15), (b"\x28\xb5\x2f\xfd", 0))
@@ -57,7 +60,31 @@ def base(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-Layer = tuple[str, list[tuple[int, int]] | tuple[int, int] | None]
+class _Spans:
+    """Where the characters of an unescaped layer came from: runs that stayed as they were, and escapes."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.runs: list[tuple[int, int, bool]] = []  # start and end of the source, whether it stayed
+        self.parts: list[str] = []
+        self.size = 0
+
+    def add(self, text: str, start: int, end: int, stayed: bool) -> None:
+        if text:
+            self.starts.append(self.size)
+            self.runs.append((start, end, stayed))
+            self.parts.append(text)
+            self.size += len(text)
+
+    def whence(self, a: int, b: int) -> tuple[int, int]:
+        i, j = bisect_right(self.starts, a) - 1, bisect_right(self.starts, b - 1) - 1
+        start, _, stayed = self.runs[i]
+        last, end, still = self.runs[j]
+        return start + (a - self.starts[i] if stayed else 0), last + b - self.starts[j] if still else end
+
+    def stayed(self, a: int, b: int) -> bool:
+        i = bisect_right(self.starts, a) - 1
+        return self.runs[i][2] and i == bisect_right(self.starts, b - 1) - 1
 
 
 def _inflate(data: bytes) -> bytes | None:
@@ -93,58 +120,49 @@ def _as_text(data: bytes) -> str | None:
     return text if text and odd * 10 <= len(text) else None
 
 
-def _url(s: str) -> tuple[str, list[tuple[int, int]]] | None:
-    raw, spans = bytearray(), []
-    at = 0
-    for m in _ESCAPE.finditer(s):
-        for i in range(at, m.start()):
-            for b in s[i].encode():
-                raw.append(b)
-                spans.append((i, i + 1))
-        raw.append(int(m[1], 16))
-        spans.append((m.start(), m.end()))
+def _url(s: str) -> tuple[str, _Spans]:
+    spans, at = _Spans(), 0
+    for m in _ESCAPES.finditer(s):
+        spans.add(s[at : m.start()], at, m.start(), True)
+        k = m.start()
+        for c in bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape"):
+            odd = "\udc80" <= c <= "\udcff"  # one byte that is no UTF-8
+            n = 3 if odd else 3 * len(c.encode())
+            spans.add("\ufffd" if odd else c, k, k + n, False)
+            k += n
         at = m.end()
-    for i in range(at, len(s)):
-        for b in s[i].encode():
-            raw.append(b)
-            spans.append((i, i + 1))
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    out, k = [], 0
-    for c in text:
-        n = len(c.encode())
-        out.append((spans[k][0], spans[k + n - 1][1]))
-        k += n
-    return text, out
+    spans.add(s[at:], at, len(s), True)
+    return "".join(spans.parts), spans
 
 
-def _unescape(s: str) -> tuple[str, list[tuple[int, int]]] | None:
-    text, spans, at = [], [], 0
+def _unescape(s: str) -> tuple[str, _Spans]:
+    spans, at = _Spans(), 0
+    high: tuple[str, int, int] | None = None  # the first half of a surrogate pair
     for m in _UNICODE_ONE.finditer(s):
-        text += s[at : m.start()]
-        spans += [(i, i + 1) for i in range(at, m.start())]
-        code = int(m[5]) if m[5] else int(next(g for g in (m[1], m[2], m[3], m[4], m[6]) if g), 16)
-        text.append(chr(code) if code < 0x110000 else "�")
-        spans.append((m.start(), m.end()))
-        at = m.end()
-    text += s[at:]
-    spans += [(i, i + 1) for i in range(at, len(s))]
-    joined = "".join(text)
-    if any("\ud800" <= c <= "\udfff" for c in text):  # surrogate pairs are one character
-        out, own, i = [], [], 0
-        while i < len(text):
-            pair = i + 1 < len(text) and "\ud800" <= text[i] <= "\udbff" and "\udc00" <= text[i + 1] <= "\udfff"
-            if pair:
-                out.append(chr(0x10000 + ((ord(text[i]) - 0xD800) << 10) + ord(text[i + 1]) - 0xDC00))
-                own.append((spans[i][0], spans[i + 1][1]))
+        if m[7]:
+            if m[7] not in html5:
+                continue
+            c = html5[m[7]]
+        else:
+            code = int(m[5]) if m[5] else int(next(g for g in (m[1], m[2], m[3], m[4], m[6]) if g), 16)
+            c = chr(code) if code < 0x110000 else "\ufffd"
+        start = m.start()
+        if high:
+            if high[2] == start and "\udc00" <= c <= "\udfff":
+                c, start = chr(0x10000 + ((ord(high[0]) - 0xD800) << 10) + ord(c) - 0xDC00), high[1]
             else:
-                out.append("�" if "\ud800" <= text[i] <= "\udfff" else text[i])
-                own.append(spans[i])
-            i += 2 if pair else 1
-        joined, spans = "".join(out), own
-    return joined, spans
+                spans.add("\ufffd", *high[1:], False)
+            high = None
+        spans.add(s[at : m.start()], at, m.start(), True)
+        at = m.end()
+        if "\ud800" <= c <= "\udbff":
+            high = c, start, at
+        else:
+            spans.add("\ufffd" if "\udc00" <= c <= "\udfff" else c, start, at, False)
+    if high:
+        spans.add("\ufffd", *high[1:], False)
+    spans.add(s[at:], at, len(s), True)
+    return "".join(spans.parts), spans
 
 
 def _base64(s: str) -> str | None:
@@ -157,13 +175,14 @@ def _base64(s: str) -> str | None:
         return None
 
 
-def _unwrapped(text: str) -> Iterator[tuple[int, int, str, list[tuple[int, int]] | None]]:
-    """Of each encoded stretch: start, end, what it decodes to, and the spans of its characters if they are known."""
-    for escape, decode in ((_ESCAPE, _url), (_UNICODE_ONE, _unescape)):
-        if escape.search(text):  # what is escaped has no white space of its own
-            for m in _TOKEN.finditer(text):
-                if escape.search(m[0]) and (x := decode(m[0])):
-                    yield m.start(), m.end(), *x
+def _unwrapped(text: str) -> Iterator[tuple[int, int, str, _Spans | None]]:
+    """Of each encoded stretch: start, end, what it decodes to, and the spans of its characters if they are known.
+
+    Escapes are undone in the whole text at once, as what they hide may go on beside them.
+    """
+    for escape, decode in ((_ESCAPES, _url), (_UNICODE_ONE, _unescape)):
+        if escape.search(text):
+            yield 0, len(text), *decode(text)
     for m in _BASE64.finditer(text):
         if _looks_encoded(m[0]) and (x := _base64(m[0])):
             yield m.start(), m.end(), x, None
@@ -181,30 +200,31 @@ def scan(text: str, first: list[tuple[str, int, int]] | None = None) -> list[tup
     """All finds, of the text (first, if they are known) and of its layers: kind, start, end in the text; by start, kind, end."""
     found = set(base(text) if first is None else first)
     seen = {hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=16).digest()}
-    # a layer's characters come from: None, the text itself; a pair, all from one stretch; else a span each
-    work: deque[Layer] = deque([(text, None)])
-    while work:
-        layer, origin = work.popleft()
+    # a layer's characters come from: None, the text itself; a pair, all from one stretch of it; else through each spans in turn
+    work: deque[tuple[str, tuple | None]] = deque([(text, None)])
 
-        def whence(a: int, b: int) -> tuple[int, int]:
-            if origin is None:
-                return a, b
-            if isinstance(origin, tuple):
+    def whence(origin: tuple | None, a: int, b: int) -> tuple[int, int]:
+        while origin is not None:
+            outer, spans = origin
+            if not isinstance(spans, _Spans):
                 return origin
-            return origin[a][0], origin[b - 1][1]
+            a, b = spans.whence(a, b)
+            origin = outer
+        return a, b
 
+    while work:
+        layer, origin = work.popleft()
         for start, end, inner, spans in _unwrapped(layer):
-            mark = hashlib.blake2b(inner.encode(errors="surrogatepass") + b"\0%d" % whence(start, end)[0], digest_size=16).digest()
+            own = whence(origin, start, end)
+            mark = hashlib.blake2b(inner.encode(errors="surrogatepass") + b"\0%d" % own[0], digest_size=16).digest()
             if mark in seen:
                 continue
             seen.add(mark)
-            own = whence(start, end) if spans is None or isinstance(origin, tuple) else [whence(start + a, start + b) for a, b in spans]
+            inside = own if spans is None else (origin, spans)
             for kind, a, b in base(inner):
-                if isinstance(own, tuple):
-                    found.add((kind, *own))
-                elif not all(y - x == 1 for x, y in own[a:b]) or any(own[i + 1][0] != own[i][1] for i in range(a, b - 1)):
-                    found.add((kind, own[a][0], own[b - 1][1]))
-            work.append((inner, own))
+                if spans is None or not spans.stayed(a, b):  # else the layer around it has it
+                    found.add((kind, *whence(inside, a, b)))
+            work.append((inner, inside))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

@@ -110,3 +110,18 @@ def test_query_columns(spark):
     assert by[2].spans == "" and by[4].spans.startswith("assign:0:")
     assert by[None].spans == f"access:1000000:{1_000_020}"
     assert secret_scan.find(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("text", "start", "end"),
+    [
+        (r"x \u0022password\u0022: \u0022hunter22\u0022", 8, 38),
+        ("&#34;token&#34;: &#34;abcdef12&#34;", 5, 30),
+        ("&quot;token&quot;: &quot;abcdef12&quot;", 6, 33),
+        ("password%3D hunter22", 0, 20),
+        ("caf%E9/x%20y?pass%77ord%3Dhunter22&z", 13, 34),
+        (r"\ud83d\ude00\u0074oken = abcdefgh", 12, 33),
+    ],
+)
+def test_escapes_are_undone_in_the_whole_text(text, start, end):
+    assert secret_scan.scan(text) == [("assign", start, end)]
