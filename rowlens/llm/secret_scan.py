@@ -2,7 +2,7 @@
 
 A scan finds assignments, access keys and hexadecimal keys by rules. A worklist
 then takes each encoded stretch of the text (URL escapes, Unicode escapes,
-base64 or hexadecimal, compressed bytes within those), decodes it, scans the
+base64 or hexadecimal, also over line breaks, compressed bytes within those), decodes it, scans the
 layer that comes out and puts its own encoded stretches on the list, until
 nothing new comes up. A layer seen before in a text, by its hash, is not opened
 again at the same place, which ends cycles. Every layer keeps where in the whole text each of its
@@ -47,8 +47,13 @@ _ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE_ONE = re.compile(
     r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});|&([A-Za-z][A-Za-z0-9]{1,31};)"
 )
+_BREAK = r"[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t]*+"  # of a line, or its escape in JSON
+_BREAKS = re.compile(_BREAK)
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_HEXED = re.compile(r"(?:[0-9a-fA-F]{2}){12,}")
+_BASE64_LINES = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{{16,}}+{_BREAK})++[A-Za-z0-9+/_-]*+={{0,2}}")
+_HEXED = re.compile(r"[0-9a-fA-F]{24,}")
+_HEXED_LINES = re.compile(rf"(?<![0-9a-fA-F])(?:[0-9a-fA-F]{{24,}}+{_BREAK})++[0-9a-fA-F]*+")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd")
 _PACKED = ((b"\x1f\x8b", 31), (b"\x78\x01", 15), (b"\x78\x5e", 15), (b"\x78\x9c", 15), (b"\x78\xda", 15), (b"\x78\xbb", 15), (b"\x28\xb5\x2f\xfd", 0))
 
 
@@ -103,21 +108,16 @@ def _inflate(data: bytes) -> bytes | None:
     return None
 
 
-def _as_text(data: bytes) -> str | None:
-    """Text of decoded bytes, through compressed layers; None if it is none."""
-    seen = set()
-    while (more := _inflate(data)) is not None:
-        mark = hashlib.blake2b(more, digest_size=16).digest()
-        if mark in seen:
-            return None
-        seen.add(mark)
-        data = more
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    odd = sum(c < " " and c not in "\t\n\r" or c == "\x7f" for c in text)
-    return text if text and odd * 10 <= len(text) else None
+def _texts(data: bytes, seen: set[bytes] | None = None) -> Iterator[str]:
+    """Texts of decoded bytes: as they are, and of the compressed layers that begin in them."""
+    seen = set() if seen is None else seen
+    yield data.decode("utf-8", "replace")
+    for m in _MAGIC.finditer(data):
+        if more := _inflate(data[m.start() :]):
+            mark = hashlib.blake2b(more, digest_size=16).digest()
+            if mark not in seen:
+                seen.add(mark)
+                yield from _texts(more, seen)
 
 
 def _url(s: str) -> tuple[str, _Spans]:
@@ -165,14 +165,18 @@ def _unescape(s: str) -> tuple[str, _Spans]:
     return "".join(spans.parts), spans
 
 
-def _base64(s: str) -> str | None:
-    body = s.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        return _as_text(binascii.a2b_base64(body + "=" * (-len(body) % 4), strict_mode=True))
-    except binascii.Error:
-        return None
+def _base64(s: str) -> Iterator[str]:
+    """Texts of a stretch, whose first characters may belong to what stands before it."""
+    body = _BREAKS.sub("", s).rstrip("=").replace("-", "+").replace("_", "/")
+    for k in range(4):
+        part = body[k : len(body) - ((len(body) - k) % 4 == 1)]
+        yield from _texts(binascii.a2b_base64(part + "=" * (-len(part) % 4)))
+
+
+def _hexed(s: str) -> Iterator[str]:
+    body = _BREAKS.sub("", s)
+    for k in range(2):
+        yield from _texts(bytes.fromhex(body[k : len(body) - (len(body) - k) % 2]))
 
 
 def _unwrapped(text: str) -> Iterator[tuple[int, int, str, _Spans | None]]:
@@ -183,12 +187,11 @@ def _unwrapped(text: str) -> Iterator[tuple[int, int, str, _Spans | None]]:
     for escape, decode in ((_ESCAPES, _url), (_UNICODE_ONE, _unescape)):
         if escape.search(text):
             yield 0, len(text), *decode(text)
-    for m in _BASE64.finditer(text):
-        if _looks_encoded(m[0]) and (x := _base64(m[0])):
-            yield m.start(), m.end(), x, None
-    for m in _HEXED.finditer(text):
-        if x := _as_text(bytes.fromhex(m[0])):
-            yield m.start(), m.end(), x, None
+    for stretches, decode in ((_BASE64_LINES, _base64), (_BASE64, _base64), (_HEXED_LINES, _hexed), (_HEXED, _hexed)):
+        for m in stretches.finditer(text):
+            if decode is _hexed or _looks_encoded(m[0]):
+                for x in decode(m[0]):
+                    yield m.start(), m.end(), x, None
 
 
 def _looks_encoded(s: str) -> bool:

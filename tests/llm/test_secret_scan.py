@@ -125,3 +125,29 @@ def test_query_columns(spark):
 )
 def test_escapes_are_undone_in_the_whole_text(text, start, end):
     assert secret_scan.scan(text) == [("assign", start, end)]
+
+
+LINES = "\n".join(f"line {i}: {hashlib.md5(b'%d' % i).hexdigest()[:20]}" for i in range(9)) + f"\n{SECRET}\n"
+
+
+@pytest.mark.parametrize(
+    "coded",
+    [
+        base64.encodebytes(("x" * 40 + SECRET).encode()).decode(),
+        base64.encodebytes(gzip.compress(LINES.encode())).decode(),
+        base64.encodebytes(zlib.compress(LINES.encode())).decode().replace("\n", "\r\n  "),
+        base64.encodebytes(zstandard.compress(LINES.encode())).decode().replace("\n", r"\n"),
+        re.sub("(.{64})", r"\1\n", gzip.compress(LINES.encode()).hex()),
+        r"\n" + LAYERS["base64"](SECRET),
+        "path/" + LAYERS["base64"](SECRET),
+        "path/" + LAYERS["gzip"](SECRET),
+        "a" + LAYERS["hex"](SECRET),
+        base64.b64encode(b"\xff\x00\x01\x02" + SECRET.encode() + b"\xe9").decode(),
+    ],
+)
+def test_stretches_over_lines_and_glued_ones(coded):
+    text = f"Some text: {coded}"
+    found = secret_scan.scan(text)
+    assert {"assign", "access", "hex"} <= {k for k, _, _ in found}
+    assert all(11 <= a < b <= len(text) for _, a, b in found)
+    assert {k for k, _, _ in secret_scan.base(text)} <= {"hex"}
