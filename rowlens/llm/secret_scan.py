@@ -10,9 +10,9 @@ characters came from, so a find is reported at the stretch of the original that
 it was unwrapped from. Base finds in the text itself always stay.
 
 Defined cases: a null text counts as empty; equal rows are scanned each on its
-own; a compressed layer counts up to ``MOST_BYTES``, more being an error of the
-encoder or a bomb; an empty table gives an empty result; other columns are
-ignored.
+own; a compressed layer is scanned in windows of ``MOST_BYTES``, and one that
+breaks off as far as it goes; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +23,7 @@ import hashlib
 import re
 import zlib
 from bisect import bisect_right
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from html.entities import html5
 
 import pyarrow as pa
@@ -40,8 +39,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # of runs of such characters, the long ones
 LEAST = {"assign": 6, "access": 20}
-#: Most bytes that one compressed layer may unpack to.
+#: Bytes of an unpacked layer that are scanned at once, and those that two such windows share.
 MOST_BYTES = 1 << 24
+OVERLAP = 1 << 20
+#: Compressed bytes unpacked at once, which bounds what they become.
+STEP = 16
 
 _ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE_ONE = re.compile(
@@ -54,7 +56,6 @@ _BASE64_LINES = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{{16,}}+{_BR
 _HEXED = re.compile(r"[0-9a-fA-F]{24,}")
 _HEXED_LINES = re.compile(rf"(?<![0-9a-fA-F])(?:[0-9a-fA-F]{{24,}}+{_BREAK})++[0-9a-fA-F]*+")
 _MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd")
-_PACKED = ((b"\x1f\x8b", 31), (b"\x78\x01", 15), (b"\x78\x5e", 15), (b"\x78\x9c", 15), (b"\x78\xda", 15), (b"\x78\xbb", 15), (b"\x28\xb5\x2f\xfd", 0))
 
 
 def base(text: str) -> list[tuple[str, int, int]]:
@@ -92,32 +93,52 @@ class _Spans:
         return self.runs[i][2] and i == bisect_right(self.starts, b - 1) - 1
 
 
-def _inflate(data: bytes) -> bytes | None:
-    for magic, bits in _PACKED:
-        if data.startswith(magic):
-            try:
-                if bits:
-                    d = zlib.decompressobj(bits)
-                    out = d.decompress(data, MOST_BYTES)
-                    return out if d.eof else None
-                import zstandard
+def _opener(magic: bytes):
+    if magic.startswith(b"\x28"):
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompressobj()
+    return zlib.decompressobj(31 if magic.startswith(b"\x1f") else 15)
+
 
-                return zstandard.ZstdDecompressor().decompress(data, max_output_size=MOST_BYTES)
-            except Exception:  # not what its first bytes promised
-                return None
-    return None
+def _unpacked(data: bytes, at: int) -> Generator[bytes, None, int]:
+    """What the stream at a place gives, its later members and frames included, up to its end or first fault; returns where it ended."""
+    while m := _MAGIC.match(data, at):
+        d, i = _opener(m[0]), at
+        try:
+            while not d.eof and i < len(data):
+                if some := d.decompress(data[i : i + STEP]):
+                    yield some
+                i += STEP
+        except Exception:  # not what its first bytes promised
+            return m.end()
+        if not d.eof:
+            return len(data)
+        at = min(i, len(data)) - len(d.unused_data)
+        if m[0].startswith(b"\x1f"):  # members may be padded
+            while data.startswith(b"\0", at):
+                at += 1
+    return at
 
 
 def _texts(data: bytes, seen: set[bytes] | None = None) -> Iterator[str]:
     """Texts of decoded bytes: as they are, and of the compressed layers that begin in them."""
     seen = set() if seen is None else seen
     yield data.decode("utf-8", "replace")
-    for m in _MAGIC.finditer(data):
-        if more := _inflate(data[m.start() :]):
-            mark = hashlib.blake2b(more, digest_size=16).digest()
-            if mark not in seen:
-                seen.add(mark)
-                yield from _texts(more, seen)
+    at = 0
+    while m := _MAGIC.search(data, at):
+        stream, window, at = _unpacked(data, m.start()), bytearray(), None
+        while at is None:
+            try:
+                window += next(stream)
+            except StopIteration as end:
+                at = end.value
+            if window and (at is not None or len(window) >= MOST_BYTES):
+                mark = hashlib.blake2b(window, digest_size=16).digest()
+                if mark not in seen:
+                    seen.add(mark)
+                    yield from _texts(bytes(window), seen)
+                del window[: max(0, len(window) - OVERLAP)]
 
 
 def _url(s: str) -> tuple[str, _Spans]:
@@ -204,7 +225,6 @@ def scan(text: str, first: list[tuple[str, int, int]] | None = None) -> list[tup
     found = set(base(text) if first is None else first)
     seen = {hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=16).digest()}
     # a layer's characters come from: None, the text itself; a pair, all from one stretch of it; else through each spans in turn
-    work: deque[tuple[str, tuple | None]] = deque([(text, None)])
 
     def whence(origin: tuple | None, a: int, b: int) -> tuple[int, int]:
         while origin is not None:
@@ -215,9 +235,13 @@ def scan(text: str, first: list[tuple[str, int, int]] | None = None) -> list[tup
             origin = outer
         return a, b
 
+    work: list[tuple[Iterator, tuple | None]] = [(_unwrapped(text), None)]  # only one layer of each depth at a time
     while work:
-        layer, origin = work.popleft()
-        for start, end, inner, spans in _unwrapped(layer):
+        layers, origin = work[-1]
+        if (layer := next(layers, None)) is None:
+            work.pop()
+        else:
+            start, end, inner, spans = layer
             own = whence(origin, start, end)
             mark = hashlib.blake2b(inner.encode(errors="surrogatepass") + b"\0%d" % own[0], digest_size=16).digest()
             if mark in seen:
@@ -227,7 +251,7 @@ def scan(text: str, first: list[tuple[str, int, int]] | None = None) -> list[tup
             for kind, a, b in base(inner):
                 if spans is None or not spans.stayed(a, b):  # else the layer around it has it
                     found.add((kind, *whence(inside, a, b)))
-            work.append((inner, inside))
+            work.append((_unwrapped(inner), inside))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

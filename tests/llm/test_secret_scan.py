@@ -151,3 +151,23 @@ def test_stretches_over_lines_and_glued_ones(coded):
     assert {"assign", "access", "hex"} <= {k for k, _, _ in found}
     assert all(11 <= a < b <= len(text) for _, a, b in found)
     assert {k for k, _, _ in secret_scan.base(text)} <= {"hex"}
+
+
+def test_compressed_layers_count_whole():
+    def coded(data):
+        return base64.b64encode(data).decode()
+
+    pad = b"pq rs\n" * 10
+    far = b"pq rs\n" * (secret_scan.MOST_BYTES // 6 - 2) + SECRET.encode() + b"\n" + pad  # over the end of a window
+    assert kinds(coded(zlib.compress(far))) == {"assign", "access", "hex"}
+    for pack in (gzip.compress, zlib.compress, zstandard.compress):
+        assert kinds(coded(pack(pad) + pack(SECRET.encode()))) == {"assign", "access", "hex"}
+        assert kinds(coded(pack(pad + SECRET[:30].encode()) + pack(SECRET[30:].encode()))) == {"assign", "access", "hex"}
+    noise = "".join(random.Random(1).choices("ghijklm ", k=5000))
+    assert kinds(coded(zlib.compress((SECRET + noise).encode())[:1000])) == {"assign", "access", "hex"}
+    s = f"{SECRET} {KEY}".encode()
+    for _ in range(5):
+        s = gzip.compress(s)
+    assert kinds(coded(s)) == {"assign", "access", "hex"}
+    for odd in ("%" * 10_000, "\\u" * 5000, "A" * 200_000 + "%41", "&#" * 5000, "\\ud83d\\ude00 \\ud83d x" * 100, "".join(f"&#{i};" for i in range(3000)), "&amp;" * 3000 + "%25" * 3000, "Zm9v" * 50_000, "ab" * 100_000, "aGVsbG8gd29ybGQh\n" * 3000):
+        secret_scan.scan(odd)
