@@ -3,13 +3,15 @@
 A page is read once, tolerantly, into blocks of text between block-level tags,
 each with its length, its share of link text, its share of stop words, and
 what its open elements say of it. The first pass decides most blocks: those in
-menus, page headers, footers, asides, forms, notices, adverts or comments (by
-element or by words of class, id and role) and those that are mostly links are
-boilerplate; those of an article or main element are text, and where a page
-has neither, so are long blocks with many stop words. Short blocks, headings
-and those in between stay open; in the second pass they take the label of the
-nearest decided block on either side, of two as near and unlike the following
-one's for a heading and boilerplate otherwise.
+menus, page headers, footers, asides, forms (by element), those in notices,
+adverts or comments (by words of class, id and role) and those that are mostly
+links are boilerplate; those of an article or main element are text, and where
+a page has neither, or only a small part of its text there, so are long blocks
+with many stop words. Words of elements that hold nearly all of the page's text
+don't count.
+Short blocks, headings and those in between stay open; in the second pass they
+take the label of the nearest decided block on either side, of two as near and
+unlike the following one's for a heading and boilerplate otherwise.
 
 Defined cases: null html is an empty page; a page without text gives ''; other
 columns than page_id, url and html are ignored; equal rows are extracted each
@@ -31,6 +33,8 @@ from rowlens.llm.common import ship, sliced
 
 #: Share of link text from which a block is links; of stop words for text; code points of short and of long blocks.
 LINKS, STOPS_LOW, STOPS_HIGH, SHORT, LONG = 0.5, 0.15, 0.25, 70, 200
+#: Share of a page's text that is too little to be all of it; share from which an article element decides for the page.
+LITTLE, PART = 0.1, 0.25
 
 #: Frequent function words of the languages at hand.
 STOP_WORDS = frozenset(
@@ -72,6 +76,7 @@ _TAG = re.compile(
 _END = {name: re.compile(rf"</{name}(?:[\s/][^>]*)?>", re.IGNORECASE) for name in _RAW}
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PART = re.compile(r"[a-z]+")
+_WITH = re.compile(r"\b(?:has|with|no|without)[-_]+[a-z]+")  # of the page's layout, not of the element
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _WORD = re.compile(r"\w+")
@@ -84,30 +89,35 @@ class Block:
     dropped: bool
     article: bool
     heading: bool
+    hints: int = 0  # hinted elements around it
     label: bool | None = None
 
 
-def _hinted(attributes: str) -> tuple[bool, bool]:
-    """Whether attributes mark what isn't the article; whether they mark it."""
-    bad = good = False
+def _hinted(name: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether attributes hint at what isn't the article; whether they mark it; whether they hide it."""
+    words: set[str] = set()
+    parts: set[str] = set()
+    good = hidden = False
     for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), _html.unescape(m[2] or m[3] or m[4] or "")
-        if name in ("class", "id", "role", "aria-label", "data-role"):
-            parts = set(_PART.findall(_CAMEL.sub(" ", value).lower()))
-            bad |= bool(parts & _HINTS)
-            good |= name == "role" and value.lower() in ("main", "article")
-        elif name == "itemprop":
+        key, value = m[1].lower(), _html.unescape(m[2] or m[3] or m[4] or "")
+        if key in ("class", "id", "role", "aria-label", "data-role"):
+            if key != "aria-label":
+                words |= set(value.lower().split())
+            parts |= set(_PART.findall(_WITH.sub(" ", _CAMEL.sub("-", value).lower())))
+            good |= key == "role" and value.lower() in ("main", "article")
+        elif key == "itemprop":
             good |= value.lower() == "articlebody"
-        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value.lower()):
-            bad = True
-    return bad, good
+        elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value.lower()):
+            hidden = True
+    # an article's names may say what it is about, so there only a whole word counts
+    return bool((words if good or name in ("article", "main") else parts) & _HINTS), good, hidden
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text, in order."""
     out: list[Block] = []
-    # name, dropped, article, link, heading, quiet (dropped within a block, which goes on behind it)
-    stack: list[tuple[str, bool, bool, bool, bool, bool]] = [("", False, False, False, False, False)]
+    # name, dropped, article, link, heading, quiet (dropped within a block, which goes on behind it), hints
+    stack: list[tuple[str, bool, bool, bool, bool, bool, int]] = [("", False, False, False, False, False, 0)]
     text: list[str] = []
     links = 0
     state = stack[0]
@@ -117,7 +127,7 @@ def blocks(page: str) -> list[Block]:
         if text:
             whole = " ".join(_html.unescape("".join(text)).split())
             if whole:
-                out.append(Block(whole, links, state[1], state[2], state[4]))
+                out.append(Block(whole, links, state[1], state[2], state[4], state[6]))
         text, links = [], 0
 
     def add(raw: str) -> None:
@@ -160,12 +170,15 @@ def blocks(page: str) -> list[Block]:
                 if stack[i][0] in _BLOCK:
                     break
             state = stack[-1]
-        bad, good = _hinted(attributes) if attributes.strip(" /\t\r\n") else (False, False)
+        hint, good, hidden = _hinted(name, attributes) if attributes.strip(" /\t\r\n") else (False, False, False)
         if name in ("html", "body"):
-            bad = False
+            hint = hidden = False
         inside = state[2]
-        dropped = state[1] or bad or name in _DROPPED or (name == "header" and not inside)
-        article = not dropped and (inside or good or name in ("article", "main"))
+        own = good or name in ("article", "main")
+        hint = hint and not state[1]
+        # within an article, hints decide; around one, they are weighed
+        dropped = state[1] or hidden or name in _DROPPED or (name == "header" and not inside) or (hint and (inside or name not in _BLOCK))
+        article = not dropped and (inside or own)
         if name in _RAW:
             end = _END[name].search(page, at)
             at = end.end() if end else len(page)
@@ -173,31 +186,50 @@ def blocks(page: str) -> list[Block]:
         if attributes.rstrip().endswith("/") and name not in _BLOCK:
             continue
         quiet = state[5] or (dropped and not state[1] and name not in _BLOCK)
-        stack.append((name, dropped, article, state[3] or name == "a", state[4] or name in _HEADING, quiet))
+        stack.append((name, dropped, article, state[3] or name == "a", state[4] or name in _HEADING, quiet, state[6] + hint))
         state = stack[-1]
     add(page[at:])
     flush()
     return out
 
 
+def _stops(text: str) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def _by_density(b: Block) -> bool | None:
+    """A block's label by its length, links and stop words."""
+    n = len(b.text)
+    if b.link_chars > LINKS * n:
+        return False
+    if n < SHORT or b.heading:
+        return None
+    stops = _stops(b.text)
+    if n >= LONG:
+        return stops >= STOPS_LOW
+    return True if stops >= STOPS_HIGH else None
+
+
 def classify(found: list[Block]) -> None:
     """Labels every block: True for text."""
-    has_article = any(b.article for b in found)
+    open_ = [b for b in found if not b.dropped]
+    density = {id(b): _by_density(b) for b in open_ if not b.article}
+    # hints count from the least depth on at which the page has text without them
+    texts = [b for b in open_ if density.get(id(b)) or b.article and not b.heading and b.link_chars <= LINKS * len(b.text)]
+    whole = sum(len(b.text) for b in texts)
+    least = next((h for h in sorted({b.hints for b in texts}) if sum(len(b.text) for b in texts if b.hints <= h) >= LITTLE * whole), 0)
+    kept = [b for b in texts if b.hints <= least]
+    in_article = sum(len(b.text) for b in kept if b.article)
+    outside = sum(len(b.text) for b in kept if not b.article)
+    has_article = any(b.article and b.hints <= least for b in open_) and in_article >= PART * (in_article + outside)
     for b in found:
-        n = len(b.text)
-        if b.dropped or (has_article and not b.article):
+        if b.dropped or b.hints > least or (has_article and not b.article):
             b.label = False
         elif b.article:
-            b.label = None if b.heading or b.link_chars > LINKS * n else True
-        elif b.link_chars > LINKS * n:
-            b.label = False
-        elif n >= SHORT and not b.heading:
-            words = _WORD.findall(b.text.lower())
-            stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            if n >= LONG:
-                b.label = stops >= STOPS_LOW
-            elif stops >= STOPS_HIGH:
-                b.label = True
+            b.label = None if b.heading or b.link_chars > LINKS * len(b.text) else True
+        else:
+            b.label = density[id(b)]
     decided = [i for i, b in enumerate(found) if b.label is not None]
     first = [b.label for b in found]
     for i, b in enumerate(found):

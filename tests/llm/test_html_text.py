@@ -58,3 +58,27 @@ def test_the_drivers_pages(spark):
         inside = r.html[r.html.index("<article>") + 9 : r.html.index("</article>")]
         blocks = re.split(r"</?(?:p|h1|br)>", inside)
         assert texts[r.page_id] == " ".join(x for b in blocks if (x := " ".join(html.unescape(re.sub(r"</?b>", "", b)).split())))
+
+
+TEXT = LONG.strip()
+CARD = "<article><h3>Teaser</h3><p>A card of another page.</p></article>"
+
+
+@pytest.mark.parametrize(
+    ("body", "expected"),
+    [
+        (f'<div class="layout has-sidebar"><article><p>{TEXT}</p></article><div class="sidebar"><p>{TEXT}</p></div></div>', TEXT),
+        (f'<div class="sidebar-layout"><div><p>{TEXT}</p></div><div class="comments"><p>No. {TEXT}</p></div></div><p>Copyright</p>', TEXT),
+        (f'<article class="post tags-x"><p>{TEXT}</p></article>', TEXT),
+        (f'<main id="search-engines"><p>{TEXT}</p><p class="tags">x y</p></main>', TEXT),
+        (f'<main><p>{TEXT}</p></main><div class="related"><article><p>{TEXT}</p></article></div>', TEXT),
+    ],
+)
+def test_hints_are_weighed(body, expected):
+    assert extract(page(body)) == expected
+
+
+def test_a_small_article_does_not_decide_for_the_page():
+    paragraphs = "".join(f"<div><p>{TEXT}</p></div>" for _ in range(5))
+    text = extract(page(paragraphs + CARD + "<div><a href=1>One</a> <a href=2>Two</a></div>"))
+    assert text.count(TEXT) == 5 and "One" not in text
