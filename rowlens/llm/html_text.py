@@ -8,7 +8,7 @@ adverts or comments (by words of class, id and role) and those that are mostly
 links are boilerplate; those of an article or main element are text, and where
 a page has neither, or only a small part of its text there, so are long blocks
 with many stop words. Words of elements that hold nearly all of the page's text
-don't count.
+don't count. A page with hardly any stop words is decided by length and links.
 Short blocks, headings and those in between stay open; in the second pass they
 take the label of the nearest decided block on either side, of two as near and
 unlike the following one's for a heading and boilerplate otherwise.
@@ -33,6 +33,8 @@ from rowlens.llm.common import ship, sliced
 
 #: Share of link text from which a block is links; of stop words for text; code points of short and of long blocks.
 LINKS, STOPS_LOW, STOPS_HIGH, SHORT, LONG = 0.5, 0.15, 0.25, 70, 200
+#: Share of stop words below which a page, or a block, is in none of their languages.
+STOPS_PAGE, STOPS_NONE = 0.05, 0.02
 #: Share of a page's text that is too little to be all of it; share from which an article element decides for the page.
 LITTLE, PART = 0.1, 0.25
 
@@ -198,23 +200,27 @@ def _stops(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / max(1, len(words))
 
 
-def _by_density(b: Block) -> bool | None:
-    """A block's label by its length, links and stop words."""
+def _by_density(b: Block, foreign: bool) -> bool | None:
+    """A block's label by its length, links and stop words; foreign: the page has hardly any of these."""
     n = len(b.text)
     if b.link_chars > LINKS * n:
         return False
     if n < SHORT or b.heading:
         return None
+    if foreign:
+        return True if n >= LONG or b.link_chars < LINKS / 2 * n else None
     stops = _stops(b.text)
-    if n >= LONG:
-        return stops >= STOPS_LOW
+    if n >= LONG:  # code or a foreign quotation goes with what is around it
+        return stops >= STOPS_LOW or (None if stops < STOPS_NONE else False)
     return True if stops >= STOPS_HIGH else None
 
 
 def classify(found: list[Block]) -> None:
     """Labels every block: True for text."""
     open_ = [b for b in found if not b.dropped]
-    density = {id(b): _by_density(b) for b in open_ if not b.article}
+    long = " ".join(b.text for b in open_ if len(b.text) >= SHORT and not b.heading and b.link_chars <= LINKS * len(b.text))
+    foreign = bool(long) and _stops(long) < STOPS_PAGE
+    density = {id(b): _by_density(b, foreign) for b in open_ if not b.article}
     # hints count from the least depth on at which the page has text without them
     texts = [b for b in open_ if density.get(id(b)) or b.article and not b.heading and b.link_chars <= LINKS * len(b.text)]
     whole = sum(len(b.text) for b in texts)

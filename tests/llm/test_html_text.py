@@ -82,3 +82,14 @@ def test_a_small_article_does_not_decide_for_the_page():
     paragraphs = "".join(f"<div><p>{TEXT}</p></div>" for _ in range(5))
     text = extract(page(paragraphs + CARD + "<div><a href=1>One</a> <a href=2>Two</a></div>"))
     assert text.count(TEXT) == 5 and "One" not in text
+
+
+def test_no_language_is_boilerplate():
+    russian = "Река текла мимо дома, и это было лучшее место в долине, поэтому они остались там на весь день и на всю ночь. " * 3
+    chinese = "河水从屋旁流过，这是山谷里最好的地方，所以他们整天整夜都留在那里，看着水面上的月亮和远处的山，一直到天亮才回家，后来他们每年夏天都回到这里来，带着孩子们一起，坐在河边听老人讲从前的故事。"
+    code = "for (int i = 0; i < n; ++i) { buffer[i] = table[index[i]] ^ mask; } " * 5
+    for body in (russian, chinese):
+        body = body.strip()
+        menu = "<nav><a href=1>x</a></nav><div><a href=1>Один</a> <a href=2>Два</a></div>"
+        assert extract(page(f"{menu}<h1>Т</h1><p>{body}</p><p>{body}</p>{menu}")) == f"Т {body} {body}"
+    assert extract(page(f"<p>{TEXT}</p><pre>{html.escape(code)}</pre><p>{TEXT}</p>")) == f"{TEXT} {code.strip()} {TEXT}"
