@@ -33,8 +33,6 @@ from rowlens.llm.tokens import encoder
 
 CAPACITY = 1024
 END_ID = 2
-#: Distinct chunks of text that a worker keeps the ids of.
-KEPT_CHUNKS = 600_000
 
 Pattern = tuple[int, ...]
 
@@ -164,7 +162,7 @@ def _cutter(path: str, keeps_spaces: bool, capacity: int, end_id: int):
         for batch in batches:
             cols: list[list] = [[] for _ in range(8)]
             places = [batch.column(i).to_pylist() for i in range(2, batch.num_columns)] or [[part] * len(batch), [0] * len(batch)]
-            for doc_id, group, place, ids in zip(batch.column(0).to_pylist(), *places, encoder(path, keeps_spaces, KEPT_CHUNKS).encode(batch.column(1))):
+            for doc_id, group, place, ids in zip(batch.column(0).to_pylist(), *places, encoder(path, keeps_spaces).encode(batch.column(1))):
                 ids = np.append(ids, end_id).astype("<u4")
                 first = len(ids) % capacity or capacity
                 for piece, start in enumerate([0, *range(first, len(ids), capacity)]):

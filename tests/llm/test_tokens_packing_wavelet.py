@@ -14,7 +14,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 TEXTS = [
-    None, "", " ", "a", " a", "a ", "\n", "a  b", "a\n b", "a \nb", "a\tb c", "a\n\nb", "<|endoftext|> x <|endoftext|>", "it's 's é́ ́", "  x", "x\x1fy z", "日本語 テスト 12345",
+    None, "", " ", "a", " a", "a ", "\n", "a  b", "a\n b", "a \nb", "a\tb c", "a\n\nb", "<|endoftext|> x <|endoftext|>", "hello <|endoftext|> world", "a<|startoftext|>b <|endoftext|>", "<|endo ftext|>", "DON'T J̌ ΑΣ ≠", "a\x00 \x00", "it's 's é́ ́", "  x", "x\x1fy z", "日本語 テスト 12345",
     "w" * 300 + " x", "A.B, c!! don't x y", "　 x", "ǅ İ ſ ﬁ", "😀 👩‍👩‍👧 x", "the quick brown fox " * 400, "x\r\ny", "\x85 a\x85 b", "a  b",
 ]
 
@@ -22,9 +22,7 @@ TEXTS = [
 def tokenizer(path):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 def ids_of(path, texts):
