@@ -29,11 +29,13 @@ _WS = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\
 _UNSAFE = rf"[ \n][{_WS}]|[{_WS}][ \n]"
 #: Bounds of memory: distinct chunks that a worker keeps, and bytes of text cut at once.
 MOST_CHUNKS = 1_000_000
-MOST_BYTES = 2 << 20
+MOST_BYTES = 1 << 20
 #: Longest chunk that is kept, in bytes; with its length it fills the words of a key.
 LONGEST_CHUNK, KEY_WORDS = 31, 4
 #: Words of letters that are encoded as one text.
 GROUP = 64
+#: Texts that the library encodes at once, as what it returns is many times their size.
+AT_ONCE = 512
 
 _SPACE, _NEWLINE = 0x20, 0x0A
 _LETTER = np.zeros(256, bool)
@@ -120,7 +122,8 @@ class Encoder:
         self.used = 0
 
     def _raw(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        parts = (texts[i : i + AT_ONCE] for i in range(0, len(texts), AT_ONCE))
+        return [e.ids for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x, np.uint32) for x in self._raw(texts)]
