@@ -1,11 +1,13 @@
-"""Helpers that the corpus operators share: code shipping, the shared scratch folder, lineage cuts."""
+"""Helpers that the corpus operators share: code shipping, the shared scratch folder, lineage cuts, columns by name."""
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -14,7 +16,7 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch.
@@ -49,14 +51,21 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir)."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir", None)
+    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir).
+
+    Where that is unset, a local session gets a folder of its own, which goes
+    with the process; on a cluster, that would be many folders, so it is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN_SCRATCH:
-            _OWN_SCRATCH[app] = "file://" + tempfile.mkdtemp(prefix="rowlens-scratch-")
-        base = _OWN_SCRATCH[app]
+        sc = spark.sparkContext
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if sc.applicationId not in _OWN_SCRATCH:
+            own = tempfile.mkdtemp(prefix="rowlens-scratch-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            _OWN_SCRATCH[sc.applicationId] = "file://" + own
+        base = _OWN_SCRATCH[sc.applicationId]
     return f"{base.rstrip('/')}/rowlens-{uuid.uuid4().hex}"
 
 
@@ -69,39 +78,80 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._rowlens_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut`` wrote. Whatever read them must have been written by now."""
+    for t in tables:
+        spark = t.sparkSession
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._rowlens_path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_of(docs: DataFrame):
-    """The text column, null counting as empty."""
-    return F.coalesce(docs["text"].cast("string"), F.lit(""))
+def aliased(docs: DataFrame) -> tuple[DataFrame, Callable[[str], Column]]:
+    """docs with its columns called _c0, _c1, ..., and a function that finds one of them by its name.
+
+    A name that is equal goes before one that differs in case, and an earlier
+    column before later ones of the same name, so no further column gets in the
+    way, whatever it is called.
+    """
+    names = docs.columns
+
+    def column(name: str) -> Column:
+        found = [i for i, c in enumerate(names) if c == name] or [i for i, c in enumerate(names) if c.lower() == name.lower()]
+        if not found:
+            raise ValueError(f"there is no column {name}, only {', '.join(names)}")
+        return F.col(f"_c{found[0]}")
+
+    return docs.toDF(*[f"_c{i}" for i in range(len(names))]), column
+
+
+def fields(docs: DataFrame, *names: str) -> DataFrame:
+    """Just these columns, as ``aliased`` finds them."""
+    rows, column = aliased(docs)
+    return rows.select(*[column(n).alias(n) for n in names])
+
+
+def plain(text: Column) -> Column:
+    """A text column, null counting as empty."""
+    return F.coalesce(text.cast("string"), F.lit(""))
+
+
+def text_of(docs: DataFrame) -> Column:
+    """The text column, null counting as empty; of what ``fields`` returned."""
+    return plain(docs["text"])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def retain(docs: DataFrame, by: dict, marks: DataFrame) -> DataFrame:
+def retain(docs: DataFrame, by: Callable[[Callable[[str], Column]], dict[str, Column]], marks: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns.
 
-    by: names and expressions over docs that identify a document. marks: those
-    names, stays, and copies, the number of rows; rows without a mark stay. Of
-    several rows with one identity that stays, one does, chosen by a partial
-    aggregate rather than a window.
+    by: gives, from a function that finds columns, names and expressions that
+    identify a document. marks: those names, stays, and copies, the number of
+    rows; rows without a mark stay. Of several rows with one identity that
+    stays, one does, chosen by a partial aggregate rather than a window.
     """
-    own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    rows = docs.select(*[docs[c].alias(own[c]) for c in docs.columns], *[e.alias(f"_by_{n}") for n, e in by.items()])
+    rows, column = aliased(docs)
+    own = rows.columns
+    names = by(column)
+    rows = rows.select(*own, *[e.alias(f"_by_{n}") for n, e in names.items()])
     same = None
-    for n in by:
+    for n in names:
         one = F.col(f"_by_{n}").eqNullSafe(F.col(n))
         same = one if same is None else same & one
     once = rows.join(marks.filter("not stays or copies > 1"), same, "left_anti")
-    again = rows.join(marks.filter("stays and copies > 1"), same, "left_semi").dropDuplicates([f"_by_{n}" for n in by])
-    return once.unionByName(again).select(*[F.col(own[c]).alias(c) for c in docs.columns])
+    again = rows.join(marks.filter("stays and copies > 1"), same, "left_semi").dropDuplicates([f"_by_{n}" for n in names])
+    return once.unionByName(again).select(*own).toDF(*docs.columns)
 
 
 _holder: tuple[str, Callable[[], None]] | None = None

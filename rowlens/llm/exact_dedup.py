@@ -4,13 +4,15 @@ Every document is reduced to the SHA-256 of its text without white space. A
 Misra-Gries sketch of each partition finds the digests that may be frequent;
 their exact counts and winners, at most ``counters`` rows, are broadcast, so
 copies of a hot text are resolved where they are read. All other digests are
-grouped by an ordinary shuffle, in which no digest is large.
+grouped by an ordinary shuffle, in which no digest is large; their winners are
+written before they are joined, so that a task with a warm digest can be split.
 
 Defined cases: a null text counts as empty, so empty, blank and null texts are
 equal; a null doc_id loses ties against any other; rows that tie in length and
 doc_id are told apart by an arbitrary row number, so that exactly one row of a
-group stays; an empty table gives an empty result; further columns are ignored
-by ``groups`` and kept by ``dedup``.
+group stays; very long texts are hashed whole; an empty table gives an empty
+result; further columns, whatever their names, are ignored by ``groups`` and
+kept by ``dedup``.
 """
 
 from __future__ import annotations
@@ -18,24 +20,27 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowlens.llm.common import cut, retain, ship, text_of
+from rowlens.llm.common import cut, fields, plain, retain, ship
 
 #: What [\x20\x09-\x0D] stands for.
 BLANKS = " \t\n\x0b\x0c\r"
 COUNTERS = 256
 
 
-def digest_of(docs: DataFrame):
-    return F.unhex(F.sha2(F.translate(text_of(docs), BLANKS, ""), 256))
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(F.translate(plain(text), BLANKS, ""), 256))
 
 
-def _rank(with_row: bool):
-    """Sorts the row that stays last: most code points, then the smallest doc_id."""
-    parts = [F.col("n_points"), F.bitwise_not(F.col("doc_id").cast("long")).alias("id_down")]
-    return F.struct(*parts, *([F.bitwise_not(F.col("row")).alias("row_down")] if with_row else []))
+def points_of(text: Column) -> Column:
+    return F.length(plain(text)).cast("long")
+
+
+def _rank() -> Column:
+    """Sorts the row that stays last: most code points, then the smallest doc_id, then the smallest row."""
+    return F.struct(F.col("n_points"), F.bitwise_not(F.col("doc_id").cast("long")).alias("id_down"), F.bitwise_not(F.col("row")).alias("row_down"))
 
 
 def shrink(counts: dict[bytes, int], counters: int) -> dict[bytes, int]:
@@ -76,7 +81,7 @@ def split(rows: DataFrame, counters: int) -> tuple[DataFrame, DataFrame]:
     """
     spark = rows.sparkSession
     ship(spark)
-    best = [F.max(_rank(True)).alias("top"), F.count(F.lit(1)).alias("group_size")]
+    best = [F.max(_rank()).alias("top"), F.count(F.lit(1)).alias("group_size")]
     total = rows.count()
     maybe = [x["digest"] for x in frequent(rows, total, counters).collect()]  # at most `counters` rows
     candidates = spark.createDataFrame([(bytes(d),) for d in maybe], "digest binary")
@@ -85,18 +90,12 @@ def split(rows: DataFrame, counters: int) -> tuple[DataFrame, DataFrame]:
     heavy = spark.createDataFrame(verified.filter("group_size > 1").collect(), schema)
     hot = rows.join(F.broadcast(heavy), "digest")
     rest = rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
-    return hot, rest.join(rest.groupBy("digest").agg(*best), "digest")
+    return hot, rest.join(cut(rest.groupBy("digest").agg(*best)), "digest")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return cut(
-        docs.select(
-            docs["doc_id"].alias("doc_id"),
-            digest_of(docs).alias("digest"),
-            F.length(text_of(docs)).cast("long").alias("n_points"),
-            F.monotonically_increasing_id().alias("row"),
-        )
-    )
+    docs = fields(docs, "doc_id", "text")
+    return cut(docs.select("doc_id", digest_of(docs["text"]).alias("digest"), points_of(docs["text"]).alias("n_points"), F.monotonically_increasing_id().alias("row")))
 
 
 def groups(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
@@ -117,8 +116,7 @@ def dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     lost = hot.unionByName(rest).filter(F.col("group_size") > 1)
     lost = lost.select("doc_id", "digest", "n_points", (F.col("top.row_down") == F.bitwise_not(F.col("row"))).alias("stays"))
     marks = cut(lost.groupBy("doc_id", "digest", "n_points").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("copies")))
-    by = {"doc_id": docs["doc_id"], "digest": digest_of(docs), "n_points": F.length(text_of(docs)).cast("long")}
-    return retain(docs, by, marks)
+    return retain(docs, lambda c: {"doc_id": c("doc_id"), "digest": digest_of(c("text")), "n_points": points_of(c("text"))}, marks)
 
 
 ORACLE = r"""

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowlens.llm.common import ship, sliced
+from rowlens.llm.common import fields, ship, sliced
 
 #: Share of link text from which a block is links; of stop words for text; code points of short and of long blocks.
 LINKS, STOPS_LOW, STOPS_HIGH, SHORT, LONG = 0.5, 0.15, 0.25, 70, 200
@@ -236,22 +236,29 @@ def classify(found: list[Block]) -> None:
             b.label = None if b.heading or b.link_chars > LINKS * len(b.text) else True
         else:
             b.label = density[id(b)]
-    decided = [i for i, b in enumerate(found) if b.label is not None]
+    # the second pass: nearest decided blocks on either side, found in one walk each way
     first = [b.label for b in found]
+    before, after = [-1] * len(found), [-1] * len(found)
+    for near, order in ((before, range(len(found))), (after, range(len(found) - 1, -1, -1))):
+        last = -1
+        for i in order:
+            near[i] = last
+            if first[i] is not None:
+                last = i
     for i, b in enumerate(found):
-        if b.label is None:
-            before = max((j for j in decided if j < i), default=None)
-            after = min((j for j in decided if j > i), default=None)
-            if before is None and after is None:
-                b.label = True  # nothing speaks against any block of the page
-            elif before is None or after is None:
-                b.label = first[after if before is None else before]
-            elif i - before != after - i:
-                b.label = first[before if i - before < after - i else after]
-            else:
-                b.label = first[after] if b.heading else first[before] and first[after]
-            if b.article and b.heading:
-                b.label = True
+        if b.label is not None:
+            continue
+        j, k = before[i], after[i]
+        if b.article and b.heading:
+            b.label = True
+        elif j < 0 and k < 0:
+            b.label = True  # nothing speaks against any block of the page
+        elif j < 0 or k < 0:
+            b.label = first[max(j, k)]
+        elif i - j != k - i:
+            b.label = first[j if i - j < k - i else k]
+        else:
+            b.label = first[k] if b.heading else first[j] and first[k]
 
 
 def extract(page: str | None) -> str:
@@ -273,5 +280,5 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars; one row per page."""
     ship(pages.sparkSession)
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    rows = fields(pages, "page_id", "url", "html").select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return rows.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")

@@ -15,7 +15,10 @@ proportions among themselves; no document is dropped or repeated.
 Defined cases: a null source counts as the source ''; a null or empty text
 takes no room and keeps its place in its source's order; sources that are not
 in ``weights`` have ``default`` parts; rows with equal doc_ids are ordered by
-length and a hash of their text; an empty table gives an empty result.
+length and a hash of their text; very long texts count whole, and the blocks
+that they span belong to the slot of their first code point; an empty table
+gives an empty result; further columns, whatever their names, are ignored, or
+kept by ``keep``.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowlens.llm.common import partitions, text_of
+from rowlens.llm.common import aliased, partitions, plain
 
 #: Production parameters: parts of the mixture by source; all others have one part.
 WEIGHTS = {"src0": 6, "src1": 3, "src2": 3, "src3": 2}
@@ -78,16 +81,15 @@ def mix(
     docs, in that order.
     """
     spark = docs.sparkSession
-    amount = F.length(text_of(docs)).cast("long")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs["doc_id"].cast("string"), F.lit("null"))))
-    own = [F.struct(*[docs[c] for c in docs.columns]).alias("own")] if keep else []
-    rows = docs.select(
-        docs["doc_id"].alias("doc_id"),
-        F.coalesce(docs["source"].cast("string"), F.lit("")).alias("source"),
-        amount.alias("amount"),
-        key.alias("key"),
-        F.xxhash64(text_of(docs)).alias("tie"),
-        *own,
+    given, column = aliased(docs)
+    text = plain(column("text"))
+    rows = given.select(
+        column("doc_id").alias("doc_id"),
+        plain(column("source")).alias("source"),
+        F.length(text).cast("long").alias("amount"),
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(column("doc_id").cast("string"), F.lit("null")))).alias("key"),
+        F.xxhash64(text).alias("tie"),
+        *([F.struct(*given.columns).alias("own")] if keep else []),
     )
     buckets = max(partitions(spark), docs.count() // ROWS_PER_BUCKET + 1)
     # The first 32 bits of the key give the bucket, so buckets follow the order of the keys.
@@ -106,7 +108,7 @@ def mix(
     placed = placed.withColumn("parts", _weight_of(F.col("source"), weights, default)).withColumn("nth", F.expr("block % parts"))
     out = placed.join(plan, ["source", "nth"]).withColumn("slot", F.expr("(block div weight) * period + place"))
     if keep:
-        return out.orderBy("slot", "start", "doc_id").select("own.*")
+        return out.orderBy("slot", "start", "doc_id").select("own.*").toDF(*docs.columns)
     return out.select("doc_id", "source", "amount", "start", "block", "slot")
 
 

@@ -12,8 +12,8 @@ an order, ranks follow it, and the sequences are numbered by their first piece
 in it.
 
 Defined cases: a null or empty text is one piece, the end id alone; equal rows
-are packed each on its own; an empty table gives an empty result; other columns
-are ignored.
+are packed each on its own; a very long text is tokenized whole; an empty table
+gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowlens.llm.common import cut, ship
+from rowlens.llm.common import cut, fields, ship
 from rowlens.llm.tokens import encoder
 
 CAPACITY = 1024
@@ -188,6 +188,7 @@ def pieces(docs: DataFrame, tokenizer: str, keeps_spaces: bool = True, capacity:
     """
     ship(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, nth long, part long, place long"
+    docs = fields(docs, "doc_id", "text", *(order or ()))
     rows = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"), *[docs[c].cast("long") for c in order or ()])
     return cut(rows.mapInArrow(_cutter(tokenizer, keeps_spaces, capacity, end_id), schema))
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowlens.llm.common import claim, ship, sliced, text_of
+from rowlens.llm.common import aliased, claim, fields, plain, ship, sliced, text_of
 from rowlens.llm.html_text import STOP_WORDS
 from rowlens.llm.jaccard_join import _HASHES, _WORD
 
@@ -175,6 +175,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """Fits a model on at most ``sample`` documents that are not held out."""
     ship(docs.sparkSession)
+    docs, labels = fields(docs, "doc_id", "text"), fields(labels, "doc_id", "quality")
     known = labels.filter(labels["quality"].isin(0, 1) & labels["doc_id"].isNotNull()).groupBy("doc_id")
     known = known.agg(F.min("quality").alias("label"), F.max("quality").alias("_most")).filter("label = _most").select("doc_id", "label")
     known = known.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -209,6 +210,7 @@ def _scorer(model):
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted; one row per document."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
+    docs = fields(docs, "doc_id", "text")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), text_of(docs).alias("text"))
     return rows.mapInArrow(_scorer(model), "doc_id long, held_out boolean, score double, predicted int")
 
@@ -231,7 +233,8 @@ def keep(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     from pyspark.sql.types import StructField, StructType
 
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
-    names = [f"_c{i}" for i in range(len(docs.columns))]  # names may clash
-    rows = docs.toDF(*names).select(*names, F.coalesce(F.col(names[docs.columns.index("text")]).cast("string"), F.lit("")).alias("_text"))
+    rows, column = aliased(docs)
+    names = rows.columns
+    rows = rows.select(*names, plain(column("text")).alias("_text"))
     schema = StructType([StructField(n, f.dataType, True) for n, f in zip(names, docs.schema.fields)])
     return rows.mapInArrow(_sieve(model, len(names)), schema).toDF(*docs.columns)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowlens.llm.common import cut, ship, sliced, text_of
+from rowlens.llm.common import cut, fields, ship, sliced, text_of
 from rowlens.llm.rolling import Prefix, mix, sliding_min
 
 DEPTH = 200
@@ -277,6 +277,7 @@ def repeated(docs: DataFrame, depth: int = DEPTH, head: int = HEAD, large: int =
     if not head <= depth <= head + (1 << LEN_BITS) - 1:
         raise ValueError("the first digit must be shorter than the depth, by 255 bytes at most")
     ship(docs.sparkSession)
+    docs = fields(docs, "text")
     texts = docs.select(F.xxhash64(text_of(docs)).alias("key"), text_of(docs).alias("text"))
     all_runs = texts.filter(F.octet_length("text") >= depth).mapInArrow(_scan(depth, head), "digit long, stretch long, key long, pos long")
     # 1: digits that head more than one run
@@ -293,7 +294,7 @@ def repeated(docs: DataFrame, depth: int = DEPTH, head: int = HEAD, large: int =
     several = cut(kinds.groupBy("digit").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
     asked = kinds.join(several, "digit").select("digit", "key", "pos", "kinds")
     lists = asked.groupBy("key").agg(F.collect_list("digit").alias("digits"), F.collect_list("pos").alias("poss"))
-    once = texts.join(lists, "key")
+    once = texts.join(cut(lists), "key")  # written, so that a task with many copies of a text can be split
     spelled = once.select("key", "text", "digits", "poss").mapInArrow(_stretches(depth), "digit long, key long, pos long, bytes binary")
     # copies of a text give the same bytes; any of them will do
     spelled = spelled.groupBy("digit", "key", "pos").agg(F.first("bytes").alias("bytes"))
@@ -318,7 +319,8 @@ def repeated(docs: DataFrame, depth: int = DEPTH, head: int = HEAD, large: int =
 
 def remove(docs: DataFrame, depth: int = DEPTH, head: int = HEAD, large: int = LARGE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; one row per document."""
-    spans = repeated(docs, depth, head, large).groupBy("key").agg(F.collect_list("pos").alias("spans"))
+    spans = cut(repeated(docs, depth, head, large).groupBy("key").agg(F.collect_list("pos").alias("spans")))
+    docs = fields(docs, "doc_id", "text")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text_of(docs)).alias("key"), text_of(docs).alias("text"))
     out = rows.join(spans, "key", "left").select("doc_id", "text", "spans")
     return out.mapInArrow(_keep(depth), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

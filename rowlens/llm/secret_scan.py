@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowlens.llm.common import ship, sliced, text_of
+from rowlens.llm.common import fields, ship, sliced, text_of
 
 #: Kinds, in the order in which equal starts are listed.
 KINDS = ("assign", "access", "hex")
@@ -279,5 +279,6 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans; one row per document."""
     ship(docs.sparkSession)
+    docs = fields(docs, "doc_id", "text")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
     return rows.mapInArrow(_scanned, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

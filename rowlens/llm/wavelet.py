@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowlens.llm.common import scratch, ship, text_of
+from rowlens.llm.common import fields, scratch, ship, text_of
 from rowlens.llm.tokens import encoder
 
 MAGIC = b"RLWM"
@@ -200,6 +200,7 @@ def _writer(path: str, keeps_spaces: bool, end_id: int, most: int):
 def write(docs: DataFrame, path: str, tokenizer: str, keeps_spaces: bool, end_id: int = END_ID, most: int = SEGMENT_IDS) -> None:
     """Writes the ids of all documents, ascending by doc_id over shards, segments and places in them."""
     ship(docs.sparkSession)
+    docs = fields(docs, "doc_id", "text")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
     order = ["doc_id", F.xxhash64("text")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -52,7 +52,7 @@ def rows():
     return out + [(200, None), (201, ""), (202, "a b"), (203, "A  b!"), (204, "!!"), (5, out[5][1]), (5, "zz yy"), (None, "a b")]
 
 
-@pytest.mark.parametrize("block", [512, 8])
+@pytest.mark.parametrize("block", [4096, 8])
 def test_groups(spark, block):
     data = rows()
     got = jaccard_join.groups(spark.createDataFrame(data, SCHEMA), block=block).collect()
@@ -95,6 +95,17 @@ def test_overlaps():
         for j in range(7):
             if i != j:
                 assert got[i, j] == len(np.intersect1d(sets[i], sets[j]))
+    assert np.array_equal(jaccard_join._overlaps(sets[:3], sets[3:]), got[:3, 3:])
+
+
+@pytest.mark.parametrize(("block", "grams"), [(4096, 1 << 21), (6, 1 << 21), (4096, 300)])
+def test_sizes_that_differ(spark, block, grams, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "MOST_GRAMS", grams)
+    monkeypatch.setattr(jaccard_join, "TILE", 5)
+    words = [f"w{i}" for i in range(300)]
+    data = [(i, " ".join(words[: 20 + 7 * i])) for i in range(40)] + [(100 + i, " ".join(words[i:])) for i in range(0, 200, 9)]
+    got = jaccard_join.groups(spark.createDataFrame(data, SCHEMA), block=block).collect()
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=str) == brute(data)
 
 
 def test_components(spark):
