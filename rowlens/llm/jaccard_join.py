@@ -41,7 +41,9 @@ from rowlens.llm.rolling import mix
 
 WORDS, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 6
 #: Classes that one task verifies against each other, their n-grams, and classes that one matrix product compares.
-BLOCK, MOST_GRAMS, TILE = 4096, 1 << 21, 512
+BLOCK, MOST_GRAMS, TILE = 1024, 1 << 21, 512
+#: A large hub's blocks grow with it up to so many classes, so that a text goes to no more than SPREAD tasks before that.
+LARGEST, SPREAD = 2048, 64
 _WORD = re.compile(r"\w+")
 _MOST_WORDS = 200_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -313,10 +315,11 @@ def _placed(ties: DataFrame, classes: DataFrame, threshold: float, block: int) -
     level = F.floor(F.log(F.col("n_grams").cast("double")) / math.log(1 / threshold) + 1e-9).cast("int") if threshold < 1 else F.col("n_grams").cast("int")
     tied = ties.join(classes.select("class", "n_grams"), "class").select("hub", "class", "n_grams", level.alias("level"))
     levels = tied.groupBy("hub", "level").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("grams"))
-    subs = F.greatest(F.ceil(F.col("n") / max(1, block // 2)), F.ceil(F.col("grams") / (MOST_GRAMS // 2))).cast("int")
-    hubs = levels.groupBy("hub").agg(
-        ((F.sum("n") <= block) & (F.sum("grams") <= MOST_GRAMS)).alias("small"), F.map_from_entries(F.collect_list(F.struct("level", subs.alias("subs")))).alias("subs")
-    )
+    hubs = levels.groupBy("hub").agg(F.sum("n").alias("n"), F.sum("grams").alias("grams"), F.collect_list(F.struct("level", "n", "grams")).alias("levels"))
+    half = max(1, block // 2)
+    size = F.least(F.greatest(F.col("n") / SPREAD, F.lit(half)), F.lit(max(half, LARGEST)))
+    subs = F.transform("levels", lambda x: F.struct(x["level"], F.greatest(F.ceil(x["n"] / size), F.ceil(x["grams"] / (MOST_GRAMS // 2))).cast("int")))
+    hubs = hubs.select("hub", ((F.col("n") <= block) & (F.col("grams") <= MOST_GRAMS)).alias("small"), F.map_from_entries(subs).alias("subs"))
     tied = tied.join(cut(hubs), "hub").withColumn("sub", F.pmod(F.xxhash64("class"), F.col("subs")[F.col("level")]).cast("int"))
     at, sub = F.col("level"), F.col("sub")
 

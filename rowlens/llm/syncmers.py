@@ -96,10 +96,17 @@ def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 def fingerprints(texts: list[bytes]) -> np.ndarray:
     """One row of BINS 16-bit numbers per text, 0 for an empty bin."""
-    out = np.zeros((len(texts), BINS), np.uint16)
-    for i, j in _slices(texts):
-        out[i:j] = _printed(anchors_of(texts[i:j]), j - i)
-    return out
+    return np.concatenate([np.zeros((0, BINS), np.uint16), *(_printed(anchors_of(texts[i:j]), j - i) for i, j in _slices(texts))])
+
+
+def _compared(old: list[bytes], new: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints of texts and of as many others, and longest of each two."""
+    parts = []
+    for i, j in _slices([a + b for a, b in zip(old, new)]):
+        a, b = anchors_of(old[i:j]), anchors_of(new[i:j])
+        parts.append((_printed(a, j - i), _printed(b, j - i), longest([len(t) for t in old[i:j]], a, b)))
+    own, other, same = (np.concatenate(x) for x in zip(*parts))
+    return own, other, same
 
 
 def _numbered(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -114,15 +121,14 @@ def _numbered(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
     return key
 
 
-def longest(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """Of texts, pair by pair, the bytes of the longest common stretch that anchors show.
+def longest(sizes: list[int], a: Anchors, b: Anchors) -> np.ndarray:
+    """Of texts, pair by pair, the bytes of the longest common stretch that their anchors show; sizes: the first ones'.
 
     The nth occurrence of an anchor in one text is compared with the nth in the
     other. Neighbouring anchors of a that b has at one distance make a stretch.
     """
-    out = np.zeros(len(a), np.int64)
-    doc, at, value = anchors_of(a)
-    other, place, theirs = anchors_of(b)
+    out = np.zeros(len(sizes), np.int64)
+    (doc, at, value), (other, place, theirs) = a, b
     _, i, j = np.intersect1d(_numbered(doc, value), _numbered(other, theirs), assume_unique=True, return_indices=True)
     order = np.argsort(i)
     i, shift = i[order], (place[j] - at[i])[order]
@@ -130,9 +136,8 @@ def longest(a: list[bytes], b: list[bytes]) -> np.ndarray:
         return out
     new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1] + 1) | (shift[1:] != shift[:-1]) | (doc[i[1:]] != doc[i[:-1]])]))
     last = np.concatenate([new[1:], [len(i)]]) - 1
-    sizes = np.array([len(t) for t in a], np.int64)
     own = doc[i[new]]
-    np.maximum.at(out, own, np.minimum(at[i[last]] + K, sizes[own]) - at[i[new]])
+    np.maximum.at(out, own, np.minimum(at[i[last]] + K, np.array(sizes)[own]) - at[i[new]])
     return out
 
 
@@ -174,46 +179,43 @@ def anchors(docs: DataFrame) -> DataFrame:
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows: part, extra, doc_id, text, sorted; each part ends with the rows of the next one's first document."""
 
-    def done(rows: list[tuple], carry: np.ndarray | None) -> tuple[pa.RecordBatch, np.ndarray]:
+    def done(rows: list[tuple]) -> pa.RecordBatch:
         """rows: the last of them is only the one that follows."""
         texts = [t for _, _, _, t in rows]
         new = [edited(t, u) for t, u in zip(texts, texts[1:])]
         raw, old = [t.encode() for t in new], [t.encode() for t in texts]
-        own = fingerprints(old[carry is not None :])
-        own = own if carry is None else np.concatenate([carry, own])
-        other = fingerprints(raw)
-        same = [longest(old[i:j], raw[i:j]) for i, j in _slices(raw)]
+        own, other, same = _compared(old[:-1], raw)
+        following = np.concatenate([own[1:], fingerprints(old[-1:])])
         cols = (
             pa.array([r[2] for r in rows[:-1]], pa.int64()),
             pa.array([len(t) for t in texts[:-1]], pa.int64()),
             pa.array([hashlib.sha256(x).hexdigest() for x in raw]),
-            pa.array([text_form(x) for x in own[:-1]]),
+            pa.array([text_form(x) for x in own]),
             pa.array([text_form(x) for x in other]),
-            pa.array(likeness(own[:-1], other)),
-            pa.array(likeness(own[:-1], own[1:])),
-            pa.array(np.concatenate(same)),
+            pa.array(likeness(own, other)),
+            pa.array(likeness(own, following)),
+            pa.array(same),
         )
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "same_bytes"]
-        return pa.RecordBatch.from_arrays(list(cols), names=names), own[-1:]
+        return pa.RecordBatch.from_arrays(list(cols), names=names)
 
     rows: list[tuple] = []
-    carry, size = None, 0
+    size = 0
     for batch in sliced(batches, 3):
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if rows and row[0] != rows[-1][0]:  # a new part
                 if len(rows) > 1:
-                    yield done(rows, carry)[0]
-                rows, carry, size = [], None, 0
+                    yield done(rows)
+                rows, size = [], 0
             if row[1] and rows and rows[-1][1]:
                 continue  # rows equal to the one that follows
             rows.append(row)
             size += len(row[3])
             if size > CHUNK and len(rows) > 1:
-                out, carry = done(rows, carry)
-                yield out
+                yield done(rows)
                 rows, size = rows[-1:], len(row[3])
     if len(rows) > 1:
-        yield done(rows, carry)[0]
+        yield done(rows)
 
 
 _NO_ID = -(1 << 63)
@@ -231,7 +233,7 @@ def _part(bounds: list[np.ndarray], row: tuple[Column, Column, Column]) -> Colum
 
     def step(x: Column, _: Column) -> Column:
         middle = F.shiftright(x["lo"] + x["hi"] + 1, 1)
-        (a, b, c), (d, e, f) = (a.getItem(middle) for a in arrays), row
+        (a, b, c), (d, e, f) = (a[middle] for a in arrays), row
         reached = (a < d) | ((a == d) & ((b < e) | ((b == e) & (c <= f))))
         return F.struct(F.when(reached, middle).otherwise(x["lo"]).alias("lo"), F.when(reached, x["hi"]).otherwise(F.greatest(middle - 1, x["lo"])).alias("hi"))
 
@@ -263,7 +265,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("part", _part(bounds, row))
     first = F.lit(True)
     for b, x in zip(bounds, row):
-        first = first & (F.lit(b).getItem(F.col("part")) == x)
+        first = first & (F.lit(b)[F.col("part")] == x)
     before = F.when(F.col("part") == 0, len(firsts) - 1).otherwise(F.col("part") - 1)
     here, there = (F.struct(p.alias("part"), F.lit(extra).alias("extra")) for p, extra in ((F.col("part"), False), (before, True)))
     rows = rows.withColumn("to", F.explode(F.when(first, F.array(here, there)).otherwise(F.array(here))))

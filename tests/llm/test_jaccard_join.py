@@ -52,7 +52,7 @@ def rows():
     return out + [(200, None), (201, ""), (202, "a b"), (203, "A  b!"), (204, "!!"), (5, out[5][1]), (5, "zz yy"), (None, "a b")]
 
 
-@pytest.mark.parametrize("block", [4096, 8])
+@pytest.mark.parametrize("block", [1024, 8])
 def test_groups(spark, block):
     data = rows()
     got = jaccard_join.groups(spark.createDataFrame(data, SCHEMA), block=block).collect()
@@ -98,7 +98,7 @@ def test_overlaps():
     assert np.array_equal(jaccard_join._overlaps(sets[:3], sets[3:]), got[:3, 3:])
 
 
-@pytest.mark.parametrize(("block", "grams"), [(4096, 1 << 21), (6, 1 << 21), (4096, 300)])
+@pytest.mark.parametrize(("block", "grams"), [(1024, 1 << 21), (6, 1 << 21), (1024, 300)])
 def test_sizes_that_differ(spark, block, grams, monkeypatch):
     monkeypatch.setattr(jaccard_join, "MOST_GRAMS", grams)
     monkeypatch.setattr(jaccard_join, "TILE", 5)

@@ -58,6 +58,36 @@ def test_likeness():
     assert like(empty, empty) == 1 and like(empty, fa) == 0
 
 
+def test_positions(spark):
+    rng = random.Random(6)
+    texts = ["", "é", "short"] + ["".join(rng.choice("abcde é") for _ in range(rng.randint(5, 200))) for _ in range(20)]
+    got = {}
+    for r in syncmers.anchors(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect():
+        got.setdefault(r.doc_id, set()).add((r.at, r.hash % (1 << 64)))
+    for i, t in enumerate(texts):
+        raw, k, s = t.encode(), syncmers.K, syncmers.S
+        want = set()
+        for j in range(len(raw) - k + 1):
+            inner = [whole(raw[j + m : j + m + s]) for m in range(k - s + 1)]
+            if min(inner) in (inner[0], inner[-1]):
+                want.add((j, whole(raw[j : j + k])))
+        if want or not raw:
+            assert got.get(i, set()) == want
+        else:
+            assert len(got[i]) == 1
+
+
+def test_stretches_are_found_by_position():
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    a = " ".join(word() for _ in range(300)).encode()
+    part, b = a[500:900], " ".join(word() for _ in range(3000)).encode()
+    old, new = [a, a, a, b"", b"x"], [b[:9000] + part + b[9000:], a, b, b"", b"x"]
+    own, other, same = syncmers._compared(old, new)
+    assert 360 <= same[0] <= 400 and same[1] >= len(a) - 2 * syncmers.K and same[2] == 0 and same[3] == 0 and same[4] == 1
+    assert np.array_equal(own, syncmers.fingerprints(old)) and np.array_equal(other, syncmers.fingerprints(new))
+
+
 def expected(rows):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     texts = [t or "" for _, t in order]
@@ -74,6 +104,7 @@ def test_neighbours(spark):
     for d, t in rows:
         assert prints[d] == syncmers.text_form(syncmers.fingerprints([(t or "").encode()])[0])
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    assert all(r.same_bytes <= len((t or "").encode()) for r, t in ((r, dict(rows)[r.doc_id]) for r in got))
 
 
 def test_small_tables_and_repeated_rows(spark):
