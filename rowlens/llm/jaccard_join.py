@@ -41,7 +41,7 @@ from rowlens.llm.rolling import mix
 
 WORDS, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 6
 #: Classes that one task verifies against each other, their n-grams, and classes that one matrix product compares.
-BLOCK, MOST_GRAMS, TILE = 1024, 1 << 21, 512
+BLOCK, MOST_GRAMS, TILE = 512, 1 << 21, 512
 #: A large hub's blocks grow with it up to so many classes, so that a text goes to no more than SPREAD tasks before that.
 LARGEST, SPREAD = 2048, 64
 _WORD = re.compile(r"\w+")
