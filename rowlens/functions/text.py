@@ -49,14 +49,19 @@ def delimiter_display(delimiter: str) -> str:
 
 
 def delimiter_label(delimiter: str) -> str:
-    return _NAMED.get(delimiter) or delimiter_display(delimiter)
+    """What a delimiter is called."""
+    return _NAMED.get(delimiter, delimiter_display(delimiter))
+
+
+_LABELS = {Format.PARQUET: "Parquet", Format.JSON_LINES: "NDJSON", Format.JSON_ARRAY: "JSON array"}
 
 
 def format_label(fmt: Format, dialect: Dialect | None = None) -> str:
-    if fmt is Format.DELIMITED:
-        d = (dialect or Dialect()).delimiter
-        return {",": "CSV", "\t": "TSV"}.get(d) or f"Delimited · {delimiter_label(d)}"
-    return {Format.PARQUET: "Parquet", Format.JSON_LINES: "NDJSON", Format.JSON_ARRAY: "JSON (array)"}[fmt]
+    """What a source is called: its format, or its delimiter where it has one."""
+    if fmt in _LABELS:
+        return _LABELS[fmt]
+    delimiter = dialect.delimiter if dialect else ","
+    return {",": "CSV", "\t": "TSV"}.get(delimiter, f"text, by {delimiter_label(delimiter)}")
 
 
 def decode_field(raw: bytes, encoding: str = "utf-8") -> str:

@@ -86,8 +86,24 @@ def _fs(spark, path: str):
     return jvm, where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+#: In a folder that an export made: such a folder, and no other, may be replaced by the next export.
+STAMP = "_rowlens_export"
+
+
+def _check_target(spark, target: str, source: str) -> None:
+    """Refuses a target that holds anything but an earlier export, or the source itself."""
+    jvm, to, fs = _fs(spark, target)
+    if source:
+        _, own, _ = _fs(spark, source)
+        own, there = (fs.makeQualified(p).toString().rstrip("/") + "/" for p in (own, to))
+        if own.startswith(there) or there.startswith(own):
+            raise FileExistsError(f"{target} is the source's own place")
+    if fs.exists(to) and fs.getFileStatus(to).isDirectory() and len(fs.listStatus(to)) and not fs.exists(jvm.org.apache.hadoop.fs.Path(to, STAMP)):
+        raise FileExistsError(f"{target} is a folder that no export made")
+
+
 def _publish(spark, made: str, target: str, single_file: bool) -> None:
-    """Moves a finished folder, or the joined bytes of its parts, to the target's name."""
+    """Moves a finished folder, or the joined bytes of its parts, to the target's name; what was there goes only when that has worked."""
     jvm, source, fs = _fs(spark, made)
     _, to, _ = _fs(spark, target)
     if single_file:
@@ -104,10 +120,17 @@ def _publish(spark, made: str, target: str, single_file: bool) -> None:
             out.close()
         fs.delete(source, True)
         source = joined
-    if fs.exists(to):
-        fs.delete(to, True)
+    else:
+        fs.create(jvm.org.apache.hadoop.fs.Path(source, STAMP)).close()
+    aside = jvm.org.apache.hadoop.fs.Path(made + ".old")
+    replaced = fs.exists(to)
+    if replaced and not fs.rename(to, aside):
+        raise OSError(f"{target} can't be replaced")
     if not fs.rename(source, to):
+        if replaced:
+            fs.rename(aside, to)
         raise OSError(f"{made} can't be renamed to {target}")
+    fs.delete(aside, True)
 
 
 def export(
@@ -118,12 +141,14 @@ def export(
     columns: Sequence[int] | None = None,
     single_file: bool = False,
 ) -> None:
-    """Writes the export under path; on failure nothing is left there.
+    """Writes the export under path; on failure what was there before stays.
 
-    CSV and TSV have a header if the source had one.
+    CSV and TSV have a header if the source had one. A file, or a folder that
+    an earlier export made, is replaced; any other folder is refused.
     """
     view, columns = _scoped(view, scope, columns)
     spark = view.source.data.sparkSession
+    _check_target(spark, path, view.source.path)
     parent, _, name = path.rstrip("/").rpartition("/")
     made = f"{parent}/.{name}.{uuid.uuid4().hex}" if parent else f".{name}.{uuid.uuid4().hex}"
     try:

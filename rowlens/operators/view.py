@@ -17,7 +17,7 @@ from rowlens.functions.ordering import order_by
 from rowlens.functions.patterns import compile_filter
 from rowlens.functions.predicates import any_matches, cell_matches, row_filter
 from rowlens.model import RID, DataQuality, Dialect, FilterSpec, RowCount, RowRange, SortKey, Viewport, ViewSpec
-from rowlens.sources.ordinals import positions
+from rowlens.sources.ordinals import keeping, positions, release
 from rowlens.sources.readers import Source
 
 #: Rows to which a window of a sorted view is cut out of a top-k; beyond, positions are numbered.
@@ -96,18 +96,24 @@ class TableView:
         """The view's rows from rows.start on, at most rows.len of them: RID, v0..vN, in order."""
         start, end = rows.start, rows.start + rows.len
         if self.spec.is_identity:  # on Parquet, the bounds reach the scan
-            inside = self.source.data.filter((F.col(RID) >= start) & (F.col(RID) < end))
-            return inside.select(RID, *self._columns(columns)).orderBy(RID)
+            return self.source.between(start, end).select(RID, *self._columns(columns)).orderBy(RID)
         if end <= SHALLOW:
             return self.rows().orderBy(*self.order()).select(RID, *self._columns(columns)).offset(start).limit(rows.len)
-        # Far down, only keys and ordinals are sorted; the window's rows are fetched by ordinal.
-        at = positions(self.rows(), self.order(), columns=[F.col(RID)]).filter((F.col("view_pos") >= start) & (F.col("view_pos") < end))
-        found = self.source.data.select(RID, *self._columns(columns)).join(at, RID)
-        return found.orderBy("view_pos").drop("view_pos")
+        found = self.placed(rows, columns)
+        return keeping(found.orderBy("view_pos").drop("view_pos"), found)
+
+    def placed(self, rows: RowRange, columns: Sequence[int] | None = None) -> DataFrame:
+        """As window, with view_pos and in no order: only keys and ordinals are sorted, the window's rows are fetched by ordinal."""
+        at = positions(self.rows(), self.order(), columns=[F.col(RID)])
+        some = at.filter((F.col("view_pos") >= rows.start) & (F.col("view_pos") < rows.start + rows.len))
+        return keeping(self.source.data.select(RID, *self._columns(columns)).join(some, RID), at)
 
     def fetch(self, rows: RowRange, columns: Sequence[int] | None = None) -> Viewport:
         """The window's cells; fewer rows than asked for at the end of the view."""
-        return Viewport([list(r)[1:] for r in self.window(rows, columns).collect()])
+        found = self.window(rows, columns)
+        cells = [list(r)[1:] for r in found.collect()]
+        release(found)
+        return Viewport(cells)
 
     def fetch_source(self, rows: RowRange, columns: Sequence[int] | None = None) -> Viewport:
         """As fetch, whatever the view."""
@@ -132,6 +138,8 @@ class TableView:
             yield held
 
     def count(self) -> int:
+        if self.spec.filter is None and self.source.records and self.source.records.n_records is not None:
+            return self.source.records.n_records
         return self.rows().count()
 
     def row_count(self) -> RowCount:
@@ -139,6 +147,8 @@ class TableView:
 
     def data_quality(self) -> DataQuality:
         """Records whose width isn't the first one's; only delimited text has any."""
+        if self.source.records and self.source.records.n_ragged is not None:
+            return DataQuality(self.source.records.n_ragged)
         return DataQuality(self.source.data.agg(F.count(F.when(self.source.ragged(), 1))).first()[0])
 
     # Matches
@@ -154,18 +164,22 @@ class TableView:
         hit = any_matches([self.source.cell(c) for c in columns], spec, self.source.data.sparkSession)
         if self.spec.is_identity:
             return self.source.data.filter(hit).select(F.col(RID).alias("view_pos"))
-        return positions(self.rows(), self.order(), columns=[hit.alias("hit")]).filter("hit").select("view_pos")
+        at = positions(self.rows(), self.order(), columns=[hit.alias("hit")])
+        return keeping(at.filter("hit").select("view_pos"), at)
 
     def find(self, spec: FilterSpec, columns: Sequence[int], first: int, forward: bool = True) -> int | None:
         """Position of the nearest row with a match in the columns, from first on towards an end; None at the end."""
         if not spec.query or first < 0:
             return None
+        if not forward and first >= self.count():
+            return None
         found = self.matches(spec, columns)
         if forward:
-            return found.filter(F.col("view_pos") >= first).agg(F.min("view_pos")).first()[0]
-        if first >= self.count():
-            return None
-        return found.filter(F.col("view_pos") <= first).agg(F.max("view_pos")).first()[0]
+            at = found.filter(F.col("view_pos") >= first).agg(F.min("view_pos")).first()[0]
+        else:
+            at = found.filter(F.col("view_pos") <= first).agg(F.max("view_pos")).first()[0]
+        release(found)
+        return at
 
     # Text
 
@@ -176,6 +190,10 @@ class TableView:
     def _names(self, columns: Sequence[int] | None) -> list[str]:
         return [f"v{i}" for i in range(len(self.source.schema) if columns is None else len(columns))]
 
+    def copy_cell(self, row: int, column: int) -> str:
+        """A cell of the view, unquoted; empty beyond its end."""
+        return self.copy_text(RowRange(row, 1), [column])
+
     def copy_text(self, rows: RowRange, columns: Sequence[int] | None = None) -> str:
         """The window's rows as tab-separated lines, at most MOST_COPIED of them."""
         rows = RowRange(rows.start, min(rows.len, MOST_COPIED))
@@ -196,17 +214,11 @@ def open_view(spark, path: str, **options) -> TableView:
 
 def column_stats(view: TableView) -> DataFrame:
     """Of each column of the view: id, least and greatest cell by the sort order, distinct cells, empty cells."""
-    from functools import reduce
-
     from rowlens.functions.ordering import sort_key
 
-    s = view.source
-    one = lambda c: F.struct(*[k.alias(f"k{i}") for i, k in enumerate(sort_key(s.cell(c)))], s.cell(c).alias("cell"))
-    frames = [
-        view.rows().agg(
-            F.lit(c.id).alias("id"), F.min(one(c.id))["cell"].alias("least"), F.max(one(c.id))["cell"].alias("greatest"),
-            F.countDistinct(s.cell(c.id)).alias("n_distinct"), F.count(F.when(s.cell(c.id) == "", 1)).alias("n_empty"),
-        )
-        for c in s.schema.columns
-    ]
-    return reduce(DataFrame.unionByName, frames)
+    cell = F.col("cell")
+    cells = view.rows().select(F.posexplode(F.array(*view.source.cells())).alias("id", "cell"))  # one scan for all columns
+    one = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(sort_key(cell))], "cell")
+    return cells.groupBy("id").agg(
+        F.min(one)["cell"].alias("least"), F.max(one)["cell"].alias("greatest"), F.countDistinct("cell").alias("n_distinct"), F.count(F.when(cell == "", 1)).alias("n_empty")
+    )

@@ -1,10 +1,4 @@
-"""Source ordinals without a single-task scan.
-
-Spark numbers the rows of a task consecutively, but not across tasks. The rows
-of one split of a file are consecutive, too, so a table of splits, each with
-its count and its least number, turns those numbers into ordinals: one count
-over the file's lines, and a join with as many rows as the source has splits.
-"""
+"""Ordinals of Parquet rows and positions in a view, without a task that sees all rows."""
 
 from __future__ import annotations
 
@@ -14,13 +8,29 @@ from pyspark.sql import functions as F
 from rowlens.model import RID
 
 
-def by_split(df: DataFrame) -> DataFrame:
-    """df of a text source with one more column, RID: file by file, in the files' order."""
-    raw = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_m"))
-    splits = raw.groupBy("_f", "_s").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_least"))
-    before = F.sum("_n").over(Window.orderBy("_f", "_s").rowsBetween(Window.unboundedPreceding, -1))  # as many rows as splits
-    splits = splits.select("_f", "_s", (F.coalesce(before, F.lit(0)) - F.col("_least")).alias("_shift"))
-    return raw.join(splits, ["_f", "_s"]).withColumn(RID, F.col("_m") + F.col("_shift")).drop("_f", "_s", "_m", "_shift")
+#: Files whose counts the driver keeps.
+MOST_FILES = 100_000
+
+
+def file_counts(df: DataFrame) -> list[tuple[str, int]] | None:
+    """Of a Parquet source of several files, its files in order and their rows; None where there are too many."""
+    n = len(df.inputFiles())
+    if not 1 < n <= MOST_FILES:
+        return None
+    files = df.select(F.col("_metadata.file_path").alias("_f")).groupBy("_f").agg(F.count(F.lit(1)).alias("_n"))
+    return sorted((r["_f"], r["_n"]) for r in files.collect())  # a row per file
+
+
+def rows_between(df: DataFrame, counts: list[tuple[str, int]], start: int, end: int) -> DataFrame | None:
+    """df's rows with these ordinals and RID, from the files that hold them; None where that is more than one."""
+    before = 0
+    for path, n in counts:
+        if before <= start and end <= before + n:
+            index = F.col("_metadata.row_index")
+            one = df.sparkSession.read.schema(df.schema).parquet(path).select("*", (index + before).alias(RID))
+            return one.filter((index >= start - before) & (index < end - before))
+        before += n
+    return None
 
 
 def by_row_index(df: DataFrame) -> DataFrame:
@@ -38,9 +48,9 @@ def by_row_index(df: DataFrame) -> DataFrame:
 def positions(df: DataFrame, order: list, name: str = "view_pos", columns: list | None = None) -> DataFrame:
     """df in that order with its positions from 0, without one task that sees all rows.
 
-    The rows are range-partitioned and sorted once, and kept; the tasks' row
-    counts, as many as tasks, then shift the numbers that Spark gives within
-    them.
+    The rows are range-partitioned and sorted once, and kept until ``release``;
+    the tasks' row counts, as many as tasks, then shift the numbers that Spark
+    gives within them.
     """
     from pyspark import StorageLevel
 
@@ -51,4 +61,17 @@ def positions(df: DataFrame, order: list, name: str = "view_pos", columns: list
     before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select("_p", F.coalesce(before, F.lit(0)).alias("_before"))
     out = raw.withColumn("_p", part).join(counts, "_p")
-    return out.withColumn(name, F.col("_before") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_p", "_m", "_before")
+    return keeping(out.withColumn(name, F.col("_before") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_p", "_m", "_before"), raw)
+
+
+def keeping(df: DataFrame, kept: DataFrame) -> DataFrame:
+    """df, which reads what another keeps."""
+    df._rowlens_kept = getattr(kept, "_rowlens_kept", kept)
+    return df
+
+
+def release(df: DataFrame) -> None:
+    """Gives up what a frame kept, once it has been read."""
+    kept = getattr(df, "_rowlens_kept", None)
+    if kept is not None:
+        kept.unpersist()

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,20 +15,24 @@ from rowlens.functions.render import render
 from rowlens.functions.text import looks_numeric
 from rowlens.model import RAGGED, RID, ColumnInfo, Dialect, Format, Inferred, SourceError, TableSchema
 from rowlens.sources import sniff
-from rowlens.sources.ordinals import by_row_index, by_split
+from rowlens.sources.ordinals import by_row_index, file_counts, rows_between
+from rowlens.sources.records import MARK, Records, Rule, read_records
 
 SAMPLE_RECORDS = 200
 #: Most characters of a field of delimited text.
 RECORD_CAP = 64 << 20
-#: Files up to this size are parsed as a whole; larger ones are first searched for records over several lines.
-SMALL_FILE = 64 << 20
 
 _INTEGER = r"^[+-]?[0-9]+$"
 
 
 @dataclass(frozen=True)
 class Source:
-    """An opened source. cells: the text of each column; extra: further fields of ragged records, if there can be any."""
+    """An opened source.
+
+    cells: the text of each column; extra: further fields of ragged records, if
+    there can be any; rule and records: of text sources, what is known without
+    reading them; parse: records (RID, value) as rows of data.
+    """
 
     path: str
     format: Format
@@ -36,6 +41,14 @@ class Source:
     dialect: Dialect | None = None
     encoding: str = "utf-8"
     style: str = "spark"
+    rule: Rule | None = None
+    records: Records | None = None
+    parse: Callable[[DataFrame], DataFrame] | None = None
+
+    def between(self, start: int, end: int) -> DataFrame:
+        """The rows with these ordinals; of an indexed text source, only their bytes are read."""
+        local = self.records.window(start, end) if self.records and self.parse else None
+        return self.parse(local) if local is not None else self.data.filter((F.col(RID) >= start) & (F.col(RID) < end))
 
     def cell(self, column: int) -> Column:
         """The text of a column; empty for one that the source doesn't have."""
@@ -48,19 +61,15 @@ class Source:
         return [self.cell(c.id) for c in self.schema.columns]
 
     def ragged(self) -> Column:
-        """Whether a record's width isn't the first one's. Spark refuses to read that alone, so a field is looked at, too."""
-        if RAGGED not in self.data.columns:
-            return F.lit(False)
-        return F.col(RAGGED).isNotNull() & (F.length("c0") >= 0)
+        """Whether a record's width isn't the first one's."""
+        return F.col(RAGGED).isNotNull() if RAGGED in self.data.columns else F.lit(False)
 
     def extra(self) -> Column | None:
         """Fields of a ragged record beyond the schema's, which a filter looks at, too."""
-        if RAGGED not in self.data.columns or self.dialect is None:
+        if RAGGED not in self.data.columns or self.rule is None:
             return None
-        sep, quote = (f"\\x{{{ord(c):x}}}" for c in (self.dialect.delimiter, self.dialect.quote))
-        one = f"(?s)(?:^|{sep})((?:{quote}(?:[^{quote}]|{quote}{quote})*{quote}|[^{sep}])*)"
-        fields = F.regexp_extract_all(F.col(RAGGED), F.lit(one), F.lit(1))
-        q = self.dialect.quote
+        q = self.rule.quote
+        fields = F.transform(self.rule.fields(F.col(RAGGED)), lambda f: F.substr(f, F.lit(2)))
         plain = F.transform(fields, lambda f: F.when(f.startswith(q) & f.endswith(q) & (F.length(f) > 1), F.replace(F.substr(f, F.lit(2), F.length(f) - 2), F.lit(q + q), F.lit(q))).otherwise(f))
         return F.when(F.col(RAGGED).isNotNull(), F.slice(plain, len(self.schema) + 1, 1 << 30))
 
@@ -93,33 +102,12 @@ def _inferred(data: DataFrame, cells: list[Column]) -> list[Inferred]:
     return [found[i] for i in range(len(cells))]
 
 
-def _text_numbered(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """Lines of a text file that aren't blank, with their ordinals among these."""
-    lines = spark.read.option("lineSep", "\n").option("encoding", encoding).text(path)
-    lines = lines.filter(~F.col("value").rlike(r"\A[\x00-\x20]*\z"))
-    return by_split(lines)
-
-
-def _spans_lines(spark: SparkSession, path: str, dialect: Dialect, encoding: str) -> bool:
-    """Whether a record may go on over a line's end: a line then has an odd number of quotes."""
-    lines = spark.read.option("lineSep", "\n").option("encoding", encoding).text(path)
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit(dialect.quote), F.lit("")))
-    return not lines.filter(quotes % 2 == 1).isEmpty()
-
-
-def _size(spark: SparkSession, path: str) -> int:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(conf).getContentSummary(where).getLength()
-
-
-def read_delimited(spark: SparkSession, path: str, dialect: Dialect | None = None, encoding: str | None = None, multiline: bool | None = None) -> Source:
+def read_delimited(spark: SparkSession, path: str, dialect: Dialect | None = None, encoding: str | None = None) -> Source:
     """Delimited text. Every field is text.
 
     encoding "latin-1" keeps every byte of the source as one character, so that
     ``encode(c, 'ISO-8859-1')`` gives the exact bytes back and code point order
-    is byte order. multiline None: large files whose records all end with their
-    line are read in parallel, others by one task each.
+    is byte order.
     """
     head = sniff.read_head(spark, path)
     found, body = sniff.encoding_of(head)
@@ -129,24 +117,32 @@ def read_delimited(spark: SparkSession, path: str, dialect: Dialect | None = Non
     first = sniff.records(sample, dialect.delimiter, 1, dialect.quote)
     names = first[0] if first else []
     spark_encoding = {"utf-16-le": "UTF-16", "utf-16-be": "UTF-16", "latin-1": "ISO-8859-1", "utf-8": "UTF-8"}.get(named, named)
-    if multiline is None:
-        multiline = found != "utf-8" or _size(spark, path) <= SMALL_FILE or _spans_lines(spark, path, dialect, spark_encoding)
     columns = [ColumnInfo(i, n if dialect.has_header else f"col{i}") for i, n in enumerate(names)]
     if not columns:
         empty = spark.createDataFrame([], T.StructType([T.StructField(RID, T.LongType())]))
         return Source(path, Format.DELIMITED, empty, TableSchema(), dialect, named)
-    schema = T.StructType([T.StructField(c.field, T.StringType()) for c in columns] + [T.StructField(RAGGED, T.StringType())])
-    reader = spark.read.schema(schema).options(
-        sep=dialect.delimiter, quote=dialect.quote, escape=dialect.quote, header=dialect.has_header, multiLine=multiline, mode="PERMISSIVE",
-        columnNameOfCorruptRecord=RAGGED, enforceSchema=True, emptyValue="", nullValue="\0", maxCharsPerColumn=RECORD_CAP, encoding=spark_encoding,
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-    )
-    data = by_split(reader.csv(path))
-    data = data.select(RID, *[F.coalesce(F.col(c.field), F.lit("")).alias(c.field) for c in columns], RAGGED)
-    if not dialect.has_header:  # the mark belongs to no field
-        data = data.withColumn("c0", F.when(F.col(RID) == 0, F.ltrim(F.col("c0"), F.lit("﻿"))).otherwise(F.col("c0")))
-    kinds = _inferred(data, [F.col(c.field) for c in columns])
-    return Source(path, Format.DELIMITED, data, TableSchema(tuple(ColumnInfo(c.id, c.name, k) for c, k in zip(columns, kinds))), dialect, named)
+    rule = Rule(dialect.delimiter, dialect.quote, len(columns))
+    records = read_records(spark, path, spark_encoding, rule, dialect.has_header)
+    parse = _delimited_parser(rule, columns)
+    source = Source(path, Format.DELIMITED, parse(records.data), TableSchema(tuple(columns)), dialect, named, "spark", rule, records, parse)
+    kinds = _inferred(source.between(0, SAMPLE_RECORDS), [F.col(c.field) for c in columns])
+    return replace(source, schema=TableSchema(tuple(ColumnInfo(c.id, c.name, k) for c, k in zip(columns, kinds))))
+
+
+def _delimited_parser(rule: Rule, columns: list[ColumnInfo]) -> Callable[[DataFrame], DataFrame]:
+    options = {
+        "sep": rule.delimiter, "quote": rule.quote, "escape": rule.quote, "mode": "PERMISSIVE", "multiLine": True, "emptyValue": "", "nullValue": "\0",
+        "maxCharsPerColumn": RECORD_CAP, "maxColumns": max(20480, 2 * len(columns)), "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+    }
+    schema = ", ".join(f"{c.field} string" for c in columns)
+
+    def parse(records: DataFrame) -> DataFrame:
+        row = F.from_csv("value", schema, {k: str(v) for k, v in options.items()})
+        parsed = records.select(RID, "value", row.alias("row"))
+        cells = [F.coalesce(F.col(f"row.{c.field}"), F.lit("")).alias(c.field) for c in columns]
+        return parsed.select(RID, *cells, F.when(rule.ragged(F.col("value")), F.col("value")).alias(RAGGED))
+
+    return parse
 
 
 def _strict(raw: Column) -> Column:
@@ -226,26 +222,30 @@ def json_field(record: Column, key: str) -> Column:
     return json_fields(record, [key])[0]
 
 
-def _json_source(spark: SparkSession, path: str, fmt: Format, records: DataFrame, encoding: str) -> Source:
-    """records: RID, raw."""
-    sample = [r["raw"] for r in records.filter(F.col(RID) < SAMPLE_RECORDS).orderBy(RID).select("raw").collect()]
+def _json_source(spark: SparkSession, path: str, fmt: Format, rows: DataFrame, encoding: str, records: Records | None = None) -> Source:
+    """rows: RID, value."""
+    first = records.window(0, SAMPLE_RECORDS) if records else None
+    first = rows.filter(F.col(RID) < SAMPLE_RECORDS) if first is None else first
+    sample = [r["value"] for r in first.orderBy(RID).select("value").collect()]
     columns = json_columns([s for s in sample if s is not None])
     if [c.name for c in columns] == ["value"] and not any((s or "").lstrip().startswith("{") for s in sample):
         whole = F.try_element_at(F.from_json(F.concat(F.lit("["), "strict", F.lit("]")), "array<string>"), F.lit(1))
-        values = whole if fmt is Format.JSON_LINES else F.col("raw")
-        data = records.withColumn("strict", _strict(F.col("raw"))).select(RID, F.coalesce(values, F.lit("")).alias("c0"))
-        return Source(path, fmt, data, TableSchema((ColumnInfo(0, "value"),)), None, encoding)
-    cells = json_fields(F.col("strict"), [c.name for c in columns])
-    data = records.withColumn("strict", _strict(F.col("raw"))).select(RID, *[v.alias(c.field) for v, c in zip(cells, columns)])
-    return Source(path, fmt, data, TableSchema(tuple(columns)), None, encoding)
+        cells = [F.coalesce(whole if fmt is Format.JSON_LINES else F.col("value"), F.lit(""))]
+        columns = [ColumnInfo(0, "value")]
+    else:
+        cells = json_fields(F.col("strict"), [c.name for c in columns])
+
+    def parse(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("strict", _strict(F.col("value"))).select(RID, *[v.alias(c.field) for v, c in zip(cells, columns)])
+
+    return Source(path, fmt, parse(rows), TableSchema(tuple(columns)), None, encoding, "spark", None, records, parse)
 
 
 def read_json_lines(spark: SparkSession, path: str) -> Source:
     """One record per line; blank lines are none. A record that can't be parsed has empty cells."""
     encoding = sniff.encoding_of(sniff.read_head(spark, path))[0]
-    lines = _text_numbered(spark, path, "UTF-16" if encoding.startswith("utf-16") else "UTF-8")
-    raw = F.rtrim(F.when(F.col(RID) == 0, F.ltrim("value", F.lit("﻿"))).otherwise(F.col("value")), F.lit("\r"))
-    return _json_source(spark, path, Format.JSON_LINES, lines.select(RID, raw.alias("raw")), encoding)
+    records = read_records(spark, path, "UTF-16" if encoding.startswith("utf-16") else "UTF-8", Rule())
+    return _json_source(spark, path, Format.JSON_LINES, records.data, encoding, records)
 
 
 def read_json_array(spark: SparkSession, path: str) -> Source:
@@ -254,11 +254,11 @@ def read_json_array(spark: SparkSession, path: str) -> Source:
     A file is parsed as one value, so it must fit a task.
     """
     whole = spark.read.text(path, wholetext=True)
-    body = F.btrim(F.ltrim("value", F.lit("﻿")), F.lit(SPACES))
+    body = F.btrim(F.ltrim("value", F.lit(MARK)), F.lit(SPACES))
     items = whole.select(F.from_json(body, "array<string>").alias("items"), (body == "").alias("empty"))
     if not items.filter(F.col("items").isNull() & ~F.col("empty")).isEmpty():
         raise SourceError(f"{path} is no JSON array")
-    records = items.select(F.posexplode("items").alias("i", "raw")).select(F.col("i").cast("long").alias(RID), "raw")
+    records = items.select(F.posexplode("items").alias("i", "value")).select(F.col("i").cast("long").alias(RID), "value")
     return _json_source(spark, path, Format.JSON_ARRAY, records, "utf-8")
 
 
@@ -276,7 +276,15 @@ def read_parquet(spark: SparkSession, path: str, style: str = "spark") -> Source
     schema = TableSchema(tuple(ColumnInfo(f.id, f.name, f.inferred) for f in (ColumnInfo(i, s.name, _parquet_inferred(s.dataType)) for i, s in enumerate(df.schema.fields))))
     numbered = by_row_index(df)
     fields = [F.col("`" + c.name.replace("`", "``") + "`").alias(c.field) for c in schema.columns]
-    return Source(path, Format.PARQUET, numbered.select(RID, *fields), schema, None, "utf-8", style)
+    counts: list = []
+
+    def window(start: int, end: int) -> DataFrame | None:
+        if not counts:
+            counts.append(file_counts(df))
+        return rows_between(df, counts[0], start, end) if counts[0] else None
+
+    records = Records(numbered, None, None, window)
+    return Source(path, Format.PARQUET, numbered.select(RID, *fields), schema, None, "utf-8", style, None, records, lambda rows: rows.select(RID, *fields))
 
 
 def open_source(spark: SparkSession, path: str, fmt: Format | None = None, dialect: Dialect | None = None, **options) -> Source:
@@ -310,7 +318,7 @@ def from_bytes(spark: SparkSession, raw: bytes, dialect: Dialect | None = None)
     schema = T.StructType([T.StructField(RID, T.LongType()), *(T.StructField(f"c{i}", T.StringType()) for i in range(width)), T.StructField(RAGGED, T.StringType())])
     df = spark.createDataFrame(data, schema)
     kinds = _inferred(df, [F.col(f"c{i}") for i in range(width)])
-    return Source("", Format.DELIMITED, df, TableSchema(tuple(ColumnInfo(i, n, k) for i, (n, k) in enumerate(zip(names, kinds)))), dialect)
+    return Source("", Format.DELIMITED, df, TableSchema(tuple(ColumnInfo(i, n, k) for i, (n, k) in enumerate(zip(names, kinds)))), dialect, rule=Rule(d, q, width))
 
 
 __all__ = ["Source", "open_source", "from_bytes", "infer_types", "json_field", "json_key_union", "read_delimited", "read_json_array", "read_json_lines", "read_parquet", "looks_numeric"]

@@ -52,6 +52,7 @@ class Job:
 
     def _run(self, work) -> None:
         try:
+            self._sc.setJobGroup(self.tag, "rowlens", True)
             self._sc.addJobTag(self.tag)
             self.token.check()
             self._result = work(self.token)
@@ -80,7 +81,7 @@ class Job:
 
     def progress(self) -> Progress:
         tracker = self._sc.statusTracker()
-        stages = [tracker.getStageInfo(s) for j in tracker.getActiveJobsIds() for s in (tracker.getJobInfo(j).stageIds if tracker.getJobInfo(j) else ())]
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(self.tag) for s in (tracker.getJobInfo(j).stageIds if tracker.getJobInfo(j) else ())]
         stages = [s for s in stages if s]
         return Progress(sum(s.numTasks for s in stages), sum(s.numCompletedTasks for s in stages), sum(s.numActiveTasks for s in stages))
 

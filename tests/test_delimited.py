@@ -25,14 +25,13 @@ def test_exact_cells_and_projection(spark, tmp_path):
     assert cells(v, columns=[1, 0, 1, 9]) == [["2", "1", "2", ""], ["y", "x", "y", ""]]
 
 
-@pytest.mark.parametrize("multiline", [None, True])
-def test_quoted_newlines_quotes_and_spaces(spark, tmp_path, multiline):
-    v = opened(spark, tmp_path, 'a,b\n"x\ny", z \n"say ""hi""",\n#c,"1,2"\n', multiline=multiline)
+def test_quoted_newlines_quotes_and_spaces(spark, tmp_path):
+    v = opened(spark, tmp_path, 'a,b\n"x\ny", z \n"say ""hi""",\n#c,"1,2"\n')
     assert cells(v) == [["x\ny", " z "], ['say "hi"', ""], ["#c", "1,2"]]
 
 
 def test_header_types_and_count(spark, tmp_path):
-    v = opened(spark, tmp_path, "name,age,w,ok,e,m\nbob,30,1.5,true,,1\nann, 41 ,2,FALSE,,x\n")
+    v = opened(spark, tmp_path, "river,km,w,ok,e,m\nElbe,1094,1.5,true,,1\nOder, 840 ,2,FALSE,,x\n")
     assert [c.inferred for c in v.source.schema.columns] == [Inferred.TEXT, Inferred.INTEGER, Inferred.FLOAT, Inferred.BOOLEAN, Inferred.TEXT, Inferred.TEXT]
     assert v.count() == 2 and v.row_count().exact
 
@@ -110,19 +109,13 @@ def test_parallel_reading_keeps_ordinals(spark, tmp_path):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
-        v = opened(spark, tmp_path, "n,t\n" + "".join(f"{i},{'x' * (i % 50)}\n" for i in range(3000)), multiline=False)
+        v = opened(spark, tmp_path, "n,t\n" + "".join(f"{i},{'x' * (i % 50)}\n" for i in range(3000)))
         assert v.source.data.rdd.getNumPartitions() > 3
         assert v.source.data.filter(F.col(RID) != F.col("c0").cast("long")).count() == 0
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
-def test_a_large_file_with_records_over_lines(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(readers, "SMALL_FILE", 0)
-    assert cells(opened(spark, tmp_path, 'a,b\n"x\ny",1\nz,2\n')) == [["x\ny", "1"], ["z", "2"]]
-    assert cells(opened(spark, tmp_path, 'a,b\n"x",1\nz,2\n', name="b.csv")) == [["x", "1"], ["z", "2"]]
-
-
 def test_filters(spark, tmp_path):
     v = opened(spark, tmp_path, "name\nApple\nbanana\nCHERRY\n")
     assert cells(v.filtered("AN")) == [["banana"]]

@@ -3,24 +3,26 @@ import pytest
 from rowlens.model import Dialect, Format
 from rowlens.sources.sniff import detect_format, encoding_of, json_shape, read_head, sniff_dialect
 
+OBJECTS = b'{"river": "Elbe", "km": 1094}\n{"river": "Oder", "km": 840}\n'
+
 
 @pytest.mark.parametrize(
     ("name", "content", "expected"),
     [
-        ("a.parquet", b"", Format.PARQUET),
-        ("a.PQT", b"", Format.PARQUET),
-        ("a.ndjson", b"", Format.JSON_LINES),
-        ("a.JSONL", b"", Format.JSON_LINES),
-        ("a.csv", b"", Format.DELIMITED),
-        ("a.zz", b"", Format.DELIMITED),
-        ("a.json", b'{"a":1}\n{"a":2}\n', Format.JSON_LINES),
-        ("a.json", b'[{"a":1},{"a":2}]', Format.JSON_ARRAY),
-        ("a.csv", b'{"a":1}\n', Format.JSON_LINES),
-        ("a.json", b"name,age\nbob,30\n", Format.DELIMITED),
-        ("a.csv", b"[id],name\n[1],bob\n", Format.DELIMITED),
-        ("a.bin", b"PAR1\0\0data", Format.PARQUET),
-        ("a.bin", b"a,b\n1,2\n", Format.DELIMITED),
-        ("a.json", '﻿{"a":1}\n'.encode("utf-16-le"), Format.JSON_LINES),
+        ("rivers.parquet", b"", Format.PARQUET),
+        ("rivers.Pqt", b"", Format.PARQUET),
+        ("rivers.NDJSON", b"", Format.JSON_LINES),
+        ("rivers.jsonl", b"", Format.JSON_LINES),
+        ("rivers.tsv", b"", Format.DELIMITED),
+        ("rivers", b"", Format.DELIMITED),
+        ("rivers.txt", OBJECTS, Format.JSON_LINES),
+        ("rivers.tsv", b"[1094, 840, 1233]\n", Format.JSON_ARRAY),
+        ("rivers.jsonl", b"river;km\nElbe;1094\n", Format.JSON_LINES),
+        ("rivers.json", b"river;km\nElbe;1094\n", Format.DELIMITED),
+        ("rivers.json", b"[km]\triver\n1094\tElbe\n", Format.DELIMITED),
+        ("rivers.csv", b"PAR1\x15\x04rest", Format.PARQUET),
+        ("rivers.dat", b"Elbe|1094\n", Format.DELIMITED),
+        ("rivers.dat", OBJECTS.decode().encode("utf-16"), Format.JSON_LINES),
     ],
 )
 def test_detect_format(spark, tmp_path, name, content, expected):
@@ -37,14 +39,15 @@ def test_head_is_bounded_and_missing_files_are_empty(spark, tmp_path):
 @pytest.mark.parametrize(
     ("head", "expected"),
     [
-        (b'{"a":1}\n', Format.JSON_LINES),
-        (b' \n[1,2]', Format.JSON_ARRAY),
-        (b"\xef\xbb\xbf[ ]", Format.JSON_ARRAY),
-        (b"[   ", Format.JSON_ARRAY),
-        (b"[id],x", None),
-        (b"{\n  \"a\": 1\n}", None),
-        (b"a,b", None),
-        (b"", None),
+        (OBJECTS, Format.JSON_LINES),
+        (b"\n\n\t{}\n", Format.JSON_LINES),
+        (b'\t["Elbe"', Format.JSON_ARRAY),
+        (b"\xef\xbb\xbf\n[[1], [2]]", Format.JSON_ARRAY),
+        (b"[\n\n", Format.JSON_ARRAY),
+        (b"[river]\tkm", None),
+        (b'{\n "river": "Elbe"\n}', None),
+        (b"Elbe\t1094", None),
+        (b"  \n", None),
     ],
 )
 def test_json_shape(head, expected):
@@ -54,16 +57,16 @@ def test_json_shape(head, expected):
 @pytest.mark.parametrize(
     ("head", "expected"),
     [
-        (b"a,b\nx,y\n", Dialect(",")),
-        (b"a\tb\nx\ty\n", Dialect("\t")),
-        (b"a;b;c\n1;2;3\n", Dialect(";")),
-        (b"a|b\n1|2\n", Dialect("|")),
-        (b"1,2\n3,4\n", Dialect(",", '"', False)),
+        (b"river,sea\nElbe,North\n", Dialect(",")),
+        (b"river\tsea\nElbe\tNorth\n", Dialect("\t")),
+        (b"river;sea;km\nElbe;North;1094\n", Dialect(";")),
+        (b"river|km\nElbe|1094\n", Dialect("|")),
+        (b"1094,840\n1233,524\n", Dialect(",", '"', False)),
         (b"", Dialect()),
-        (b"one\ntwo\n", Dialect()),
-        (b"a,b;c\nd,e;f\n", Dialect(",")),
-        (b'"x\ny",b\n1,2\n', Dialect(",")),
-        ("﻿1;2\n3;4\n".encode("utf-16-le"), Dialect(";", '"', False)),
+        (b"Elbe\nOder\n", Dialect()),
+        (b"river,sea;km\nElbe,North;1\n", Dialect(",")),
+        (b'"river\nname",km\nElbe,1094\n', Dialect(",")),
+        ("﻿1094;840\n1233;524\n".encode("utf-16-le"), Dialect(";", '"', False)),
     ],
 )
 def test_dialect(head, expected):
@@ -71,6 +74,6 @@ def test_dialect(head, expected):
 
 
 def test_encodings():
-    assert encoding_of("﻿ab".encode("utf-16-be")) == ("utf-16-be", b"ab")
-    assert encoding_of(b"\xef\xbb\xbfab") == ("utf-8", b"ab")
-    assert encoding_of(b"ab") == ("utf-8", b"ab")
+    assert encoding_of("﻿Oder".encode("utf-16-be")) == ("utf-16-be", b"Oder")
+    assert encoding_of(b"\xef\xbb\xbfOder") == ("utf-8", b"Oder")
+    assert encoding_of(b"Oder") == ("utf-8", b"Oder")
