@@ -154,9 +154,7 @@ def filter_sort_window(spark, sf_dir):
 def deep_window(spark, sf_dir):
     """Rows far down a sorted view, which are fetched by ordinal."""
     v = view(spark, sf_dir, "lineitem").sorted(SortKey(5))
-    start = v.count() * 5 // 6
-    at = (F.col("view_pos") >= start) & (F.col("view_pos") < start + 100)
-    found = v.numbered([5]).filter(at)
+    found = v.placed(RowRange(v.count() * 5 // 6, 100), [5])
     return found.select(F.col("v0").alias("l_extendedprice"), "view_pos")
 
 
@@ -186,9 +184,7 @@ _register("topk", topk, f"SELECT {_text('orders')} FROM (SELECT * FROM orders OR
 def _find(forward: bool):
     def run(spark, sf_dir):
         v = view(spark, sf_dir, "events").sorted(SortKey(4, Direction.DESCENDING))
-        hits = v.matches(FilterSpec("purchase"), [3, 5])
-        pos = F.col("view_pos")
-        return hits.agg((F.min(F.when(pos >= 500, pos)) if forward else F.max(F.when(pos <= 500, pos))).alias("position"))
+        return spark.createDataFrame([(v.find(FilterSpec("purchase"), [3, 5], 500, forward),)], "position long")
 
     return run
 
@@ -247,10 +243,14 @@ _register("export_ndjson_lines", export_ndjson_lines, """SELECT '{"n_nationkey":
 
 
 def _scratch(spark) -> str:
-    """A new folder that all executors see: beside the session's checkpoints, or a temporary one."""
+    """A new folder that all executors see: beside the session's checkpoints, or, in a local session, a temporary one."""
     import uuid
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rowlens-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="rowlens-")
     return f"{base.rstrip('/')}/export-{uuid.uuid4().hex}"
 
 
@@ -288,6 +288,136 @@ _register(
        SELECT count(*) FILTER (WHERE width <> (SELECT width FROM n ORDER BY n_nationkey LIMIT 1)) AS ragged_rows FROM n""",
 )
 
+# Text files of all shapes, written from a table and read back
+
+
+def _file(spark, table: DataFrame, line, name: str, encoding: str = "UTF-8") -> str:
+    """A text file of one line per row, in the order of RID."""
+    path = f"{_scratch(spark)}/{name}"
+    one = table.orderBy(RID).select(line.alias("line")).coalesce(1)
+    if encoding == "UTF-8":
+        one.write.text(path)
+    else:
+        one.write.options(encoding=encoding, quote="", sep="\x01", emptyValue="").csv(path)
+    return path
+
+
+def _nation_lines(spark, sf_dir):
+    """Nations by line: cells in quotes with a line end in them, blank-looking records, records of other widths."""
+    rows = view(spark, sf_dir, "nation").ordered()
+    region = F.col("v2")
+    name = F.concat(F.lit('"'), F.col("v1"), F.lit('\n""x"""'))
+    line = (
+        F.when(region == "0", F.concat_ws("|", "v0", name, "v2")).when(region == "1", F.concat_ws("|", "v0", "v1")).when(region == "2", F.concat_ws("|", "v0", "v1", "v2", F.lit("surplus")))
+        .when(region == "3", F.lit(" | | ")).otherwise(F.concat_ws("|", "v0", "v1", "v2"))
+    )
+    return _file(spark, rows, line, "nations.txt")
+
+
+def records_over_lines(spark, sf_dir):
+    v = TableView(readers.read_delimited(spark, _nation_lines(spark, sf_dir), Dialect("|", '"', False)))
+    return v.project().select(F.col(RID).alias("row"), F.col("v0").alias("key"), F.col("v1").alias("name"), F.col("v2").alias("region"))
+
+
+def ragged_scope(spark, sf_dir):
+    """A filter also looks at fields beyond the schema."""
+    v = TableView(readers.read_delimited(spark, _nation_lines(spark, sf_dir), Dialect("|", '"', False)))
+    return v.filtered("SURPLUS").project().select(F.col(RID).alias("row"), F.col("v1").alias("name"))
+
+
+def lines_quality(spark, sf_dir):
+    """Records, ragged ones and those that look blank, counted from the index of a large file's kind: one record per line."""
+    rows = view(spark, sf_dir, "customer").ordered()
+    key = F.col("v0").cast("long")
+    line = F.when(key % 7 == 0, F.lit(",")).when(key % 7 == 1, F.lit("")).when(key % 7 == 2, F.col("v0")).when(key % 7 == 3, F.lit(" ")).otherwise(F.concat_ws(",", "v0", "v4"))
+    v = TableView(readers.read_delimited(spark, _file(spark, rows.filter(key >= 4), line, "customers.csv"), Dialect(",", '"', False)))
+    blank = v.project().filter("trim(v0) = '' and trim(v1) = ''").count()
+    return spark.createDataFrame([(v.count(), v.data_quality().ragged_rows, blank)], "n_records long, n_ragged long, n_blank long")
+
+
+def utf16_roundtrip(spark, sf_dir):
+    path = _file(spark, view(spark, sf_dir, "nation").ordered(), F.concat_ws(";", "v0", "v1", F.lit("é漢")), "nations.csv", "UTF-16")
+    v = TableView(readers.read_delimited(spark, path, Dialect(";", '"', False)))
+    return v.project().select(F.col("v0").alias("key"), F.col("v1").alias("name"), F.col("v2").alias("mark"))
+
+
+def json_array(spark, sf_dir):
+    rows = view(spark, sf_dir, "part").ordered()
+    one = rows.select(RID, F.to_json(F.struct(F.col("v0").cast("long").alias("key"), F.col("v1").alias("name"))).alias("v"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(RID, "v"))), lambda x: x["v"])
+    whole = one.agg(F.concat(F.lit("[ "), F.array_join(parts, " ,\n"), F.lit(" ]")).alias("line"), F.lit(0).alias(RID))
+    v = TableView(readers.open_source(spark, _file(spark, whole, F.col("line"), "parts.json")))
+    return v.project().select(F.col(RID).alias("row"), F.col("v0").alias("key"), F.col("v1").alias("name"))
+
+
+def _events_json(spark, sf_dir):
+    """Events as NDJSON: whole values, nested ones, numbers, and lines that are no single value."""
+    rows = view(spark, sf_dir, "events").filtered("purchase").ordered()
+    key = F.col("v0").cast("long")
+    whole = F.to_json(F.struct(key.alias("id"), F.struct(F.col("v2").cast("long").alias("user")).alias("who"), (F.col("v4").cast("double") > 50).alias("high")))
+    line = F.when(key % 5 == 0, F.concat(whole, F.lit(" x"))).when(key % 5 == 1, F.lit("  ")).otherwise(whole)
+    return _file(spark, rows, line, "events.ndjson")
+
+
+def json_strict(spark, sf_dir):
+    """Nested values as compact JSON; a record that something follows has empty cells; blank lines are none."""
+    v = TableView(readers.open_source(spark, _events_json(spark, sf_dir)))
+    return v.project().select(F.col("v0").alias("id"), F.col("v1").alias("who"), F.col("v2").alias("high"))
+
+
+def json_scope(spark, sf_dir):
+    """A filter over rendered JSON cells."""
+    v = TableView(readers.open_source(spark, _events_json(spark, sf_dir)))
+    return v.filtered('"user":1', case_sensitive=True).project([0]).select(F.col("v0").alias("id"))
+
+
+def json_types(spark, sf_dir):
+    v = TableView(readers.open_source(spark, _events_json(spark, sf_dir)))
+    return spark.createDataFrame([(c.id, c.name, c.inferred.value) for c in v.source.schema.columns], "id int, name string, inferred string")
+
+
+def sort_mixed(spark, sf_dir):
+    """Empty cells, numbers of all kinds and words in one column of text."""
+    rows = view(spark, sf_dir, "customer").ordered()
+    key = F.col("v0").cast("long")
+    cell = F.when(key % 4 == 0, F.lit("")).when(key % 4 == 1, (key * 7 % 100).cast("string")).when(key % 4 == 2, F.concat((key % 90).cast("string"), F.lit(".50"))).otherwise(F.col("v4"))
+    v = TableView(readers.read_delimited(spark, _file(spark, rows, F.concat_ws(",", "v0", cell), "mixed.csv"), Dialect(",", '"', False))).sorted(SortKey(1))
+    return v.numbered([0, 1]).select(F.col("v0").alias("key"), F.col("v1").alias("cell"), "view_pos")
+
+
+_LINES = """n AS (SELECT n_nationkey, n_regionkey, n_name, n_nationkey AS row FROM nation)"""
+_register(
+    "records_over_lines",
+    records_over_lines,
+    f"""WITH {_LINES} SELECT row,
+        CASE n_regionkey WHEN 3 THEN ' ' ELSE cast(n_nationkey AS varchar) END AS key,
+        CASE n_regionkey WHEN 0 THEN n_name || chr(10) || '"x"' WHEN 3 THEN ' ' ELSE n_name END AS name,
+        CASE n_regionkey WHEN 1 THEN '' WHEN 3 THEN ' ' ELSE cast(n_regionkey AS varchar) END AS region FROM n""",
+)
+_register("ragged_scope", ragged_scope, f"WITH {_LINES} SELECT row, n_name AS name FROM n WHERE n_regionkey = 2")
+_register(
+    "lines_quality",
+    lines_quality,
+    """WITH c AS (SELECT c_custkey % 7 AS k, CASE c_custkey % 7 WHEN 2 THEN 1 WHEN 3 THEN 1 ELSE 2 END AS width, c_custkey FROM customer WHERE c_custkey >= 4 AND c_custkey % 7 <> 1)
+       SELECT count(*) AS n_records, count(*) FILTER (WHERE width <> (SELECT width FROM c ORDER BY c_custkey LIMIT 1)) AS n_ragged, count(*) FILTER (WHERE k IN (0, 3)) AS n_blank FROM c""",
+)
+_register("utf16_roundtrip", utf16_roundtrip, "SELECT cast(n_nationkey AS varchar) AS key, n_name AS name, 'é漢' AS mark FROM nation")
+_register("json_array", json_array, "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS row, cast(p_partkey AS varchar) AS key, p_name AS name FROM part")
+_EVENTS = "SELECT event_id, user_id, value FROM events WHERE contains(lower(event_type), 'purchase') OR contains(lower(props), 'purchase')"
+_STRICT = f"""SELECT CASE WHEN event_id % 5 = 0 THEN '' ELSE cast(event_id AS varchar) END AS id,
+    CASE WHEN event_id % 5 = 0 THEN '' ELSE '{{"user":' || user_id || '}}' END AS who,
+    CASE WHEN event_id % 5 = 0 THEN '' WHEN value > 50 THEN 'true' ELSE 'false' END AS high FROM ({_EVENTS}) WHERE event_id % 5 <> 1"""
+_register("json_strict", json_strict, _STRICT)
+_register("json_scope", json_scope, f"SELECT id FROM ({_STRICT}) WHERE contains(who, '\"user\":1')")
+_register("json_types", json_types, "SELECT * FROM (VALUES (0, 'id', 'integer'), (1, 'who', 'text'), (2, 'high', 'boolean')) t(id, name, inferred)")
+_register(
+    "sort_mixed",
+    sort_mixed,
+    """WITH c AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN cast(c_custkey * 7 % 100 AS varchar) WHEN 2 THEN (c_custkey % 90) || '.50' ELSE c_mktsegment END AS cell FROM customer)
+       SELECT cast(c_custkey AS varchar) AS key, cell,
+              row_number() OVER (ORDER BY cell <> '', try_cast(cell AS double) IS NULL, try_cast(cell AS double), cell, c_custkey) - 1 AS view_pos FROM c""",
+)
+
 # Rendering and inference
 
 

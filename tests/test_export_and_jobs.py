@@ -68,6 +68,28 @@ def test_a_failed_export_leaves_nothing(spark, tmp_path):
     assert not [p for p in tmp_path.iterdir() if not p.name.endswith(".crc")]
 
 
+def test_exports_replace_only_exports(spark, tmp_path, view):
+    own, other = str(tmp_path / "e.csv"), tmp_path / "data"
+    for kind in (ExportKind.CSV, ExportKind.NDJSON):
+        export(view, own, kind)
+    assert len(open_view(spark, own).fetch(RowRange(0, 9)).rows) == 3
+    (other / "deep").mkdir(parents=True)
+    (other / "deep" / "kept.txt").write_text("x")
+    with pytest.raises(FileExistsError):
+        export(view, str(other), ExportKind.CSV)
+    source = tmp_path / "s.csv"
+    source.write_text("a,b\n1,2\n")
+    v = open_view(spark, str(source))
+    for target in (source, tmp_path):
+        with pytest.raises(FileExistsError):
+            export(v, str(target), ExportKind.CSV, single_file=True)
+    assert (other / "deep" / "kept.txt").read_text() == "x" and source.read_text() == "a,b\n1,2\n"
+    export(v, str(tmp_path / "new.csv"), ExportKind.CSV, single_file=True)
+    export(v.filtered("zzz"), str(tmp_path / "new.csv"), ExportKind.CSV, single_file=True)
+    assert (tmp_path / "new.csv").read_text() == "a,b\n"
+    assert not [p for p in tmp_path.iterdir() if p.name.endswith((".old", ".joined"))]
+
+
 def test_tokens_are_shared():
     token = CancellationToken()
     other = token

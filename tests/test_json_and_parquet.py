@@ -122,3 +122,15 @@ def test_row_ranges_reach_the_scan(spark, tmp_path):
 def test_column_stats(spark, tmp_path):
     spark.createDataFrame([("10",), ("9",), ("x",), (None,)], "a string").coalesce(1).write.parquet(str(tmp_path / "s.parquet"))
     assert [tuple(r) for r in column_stats(open_view(spark, str(tmp_path / "s.parquet"))).collect()] == [(0, "", "x", 4, 1)]
+
+
+def test_windows_of_many_files_read_one(spark, tmp_path):
+    for i in range(4):
+        spark.range(100 * i, 100 * i + 100).coalesce(1).write.mode("append").parquet(str(tmp_path / f"d/p{i}"))
+    files = str(tmp_path / "d/*")
+    v = open_view(spark, files, fmt=Format.PARQUET)
+    ids = [int(r[0]) for r in v.fetch(RowRange(0, 400)).rows]
+    assert sorted(ids) == list(range(400))
+    for start, n in ((0, 5), (120, 20), (95, 10), (390, 50), (400, 3)):
+        assert [int(r[0]) for r in v.fetch(RowRange(start, n)).rows] == ids[start : start + n]
+    assert len(v.source.between(120, 140).inputFiles()) == 1
