@@ -127,6 +127,15 @@ def test_pack(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), BYTE).count() == 0
 
 
+def test_a_lookup_inflates_few_blocks():
+    x = np.random.default_rng(3).integers(0, 1000, 300_000)
+    blob = wavelet.encode(x, np.array([1]), np.array([len(x)]))
+    w = wavelet.WaveletMatrix(blob)
+    assert w.access(123_456) == x[123_456] and len(w._known) <= w.bits
+    with pytest.raises(ValueError):
+        wavelet.WaveletMatrix(blob[:-1])
+
+
 @pytest.mark.parametrize(("n", "symbols"), [(0, 5), (1, 1), (700, 3), (1500, 300), (3000, 70_000)])
 def test_wavelet_matrix(n, symbols):
     x = np.random.default_rng(n).integers(0, symbols, n)
@@ -138,6 +147,9 @@ def test_wavelet_matrix(n, symbols):
         assert w.access(i) == s and w.rank(s, i) == (x[:i] == s).sum() and w.count(s) == (x == s).sum()
         assert w.occurrences(s) == list(np.flatnonzero(x == s))
     assert w.count(1 << 20) == 0
+    at = np.unique(np.concatenate([np.random.default_rng(1).integers(0, n + 1, 40), [0, n]]))
+    for s in (0, 1, symbols - 1, 1 << 20):
+        assert w.ranks_at(s, at).tolist() == [int((x[:i] == s).sum()) for i in at]
     with pytest.raises(IndexError):
         w.access(n)
     with pytest.raises(ValueError):
@@ -155,6 +167,11 @@ def test_round_trip(spark, tmp_path, most):
     assert [r.doc_id for r in got] == [d for d, _ in order]
     assert [(r.n_tokens, r.ids_crc32) for r in got if r.doc_id != 12] == [(len(x), zlib.crc32(x.tobytes())) for x, (d, _) in zip(ids, order) if d != 12]
     assert [r.start for r in got] == list(np.cumsum([0, *(r.n_tokens for r in got)]))[:-1]
+    assert sum(r.n_end for r in got) == sum(int((x == 2).sum()) for x in ids)
+    one = Counter(i for x in ids for i in x.tolist() if i != 2).most_common(1)[0][0]
+    want = Counter((d, i) for x, (d, _) in zip(ids, order) for i in np.flatnonzero(x == one).tolist())
+    assert Counter((r.doc_id, r.place) for r in wavelet.occurrences(spark, str(tmp_path / "w"), [one]).collect()) == want
+    assert {r.symbol: r.n for r in wavelet.count(spark, str(tmp_path / "w"), [one, 2]).collect()} == {one: sum(want.values()), 2: sum(r.n_end for r in got)}
 
 
 def test_round_trip_of_nothing(spark):
