@@ -10,6 +10,14 @@
 All stages but the last return the columns of their input. SQL cannot express
 the first and the third, so there is no ORACLE_SQL; the tests hold the stages
 against brute force.
+
+Defined cases, in every stage: a null text counts as empty; empty texts are
+scored, are equal to one another, and pack as their end id; a null doc_id is a
+name like any other, but loses ties; a null source is the source ''; rows that
+are equal in all are one document to the exact stage, which keeps one of them;
+documents without a word are near one another; ties go to the least doc_id;
+very long texts are handled whole; an empty table gives an empty result;
+further columns are kept, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations
