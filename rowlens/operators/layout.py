@@ -29,6 +29,10 @@ class GridLayout:
     def of(cls, columns: int) -> GridLayout:
         return cls(list(range(columns)), [True] * columns)
 
+    def reopened(self, columns: int) -> GridLayout:
+        """For the same file read otherwise: this layout if there are as many columns as before, else a new one."""
+        return GridLayout(list(self.order), list(self.visible)) if columns == len(self.order) else GridLayout.of(columns)
+
     def displayed(self) -> list[int]:
         return [c for c in self.order if self.visible[c]]
 

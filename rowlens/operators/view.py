@@ -17,6 +17,7 @@ from rowlens.functions.ordering import order_by
 from rowlens.functions.patterns import compile_filter
 from rowlens.functions.predicates import any_matches, cell_matches, row_filter
 from rowlens.model import RID, DataQuality, Dialect, FilterSpec, RowCount, RowRange, SortKey, Viewport, ViewSpec
+from rowlens.operators.layout import RowSpan
 from rowlens.sources.ordinals import keeping, positions, release
 from rowlens.sources.readers import Source
 
@@ -194,6 +195,13 @@ class TableView:
         """A cell of the view, unquoted; empty beyond its end."""
         return self.copy_text(RowRange(row, 1), [column])
 
+    def copy_row(self, row: int, columns: Sequence[int] | None = None) -> str:
+        return self.copy_text(RowRange(row, 1), columns)
+
+    def copy_selection(self, span: RowSpan, columns: Sequence[int] | None = None) -> str:
+        """The rows of a span of the view, in order; both its ends count."""
+        return self.copy_text(RowRange(span.lo, len(span)), columns)
+
     def copy_text(self, rows: RowRange, columns: Sequence[int] | None = None) -> str:
         """The window's rows as tab-separated lines, at most MOST_COPIED of them."""
         rows = RowRange(rows.start, min(rows.len, MOST_COPIED))

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowlens.model import RID, Dialect, Direction, FilterSpec, Inferred, InvalidPattern, RowRange, SortKey, SourceError, ViewSpec
+from rowlens.operators.layout import RowSpan
 from rowlens.operators.view import TableView, open_view
 from rowlens.sources import readers
 
@@ -162,6 +163,8 @@ def test_copy(spark, tmp_path):
     v = opened(spark, tmp_path, 'a,b\n"x,1",y\nz,w\n')
     assert v.copy_text(RowRange(0, 5)) == "x,1\ty\nz\tw"
     assert v.copy_text(RowRange(1, 1), [1]) == "w"
+    assert (v.copy_cell(0, 0), v.copy_cell(9, 0), v.copy_row(1)) == ("x,1", "", "z\tw")
+    assert v.copy_selection(RowSpan(1, 0), [1]) == "y\nw"
 
 
 def test_sql_view(spark, tmp_path):

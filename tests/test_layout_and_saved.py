@@ -111,3 +111,9 @@ def test_filter_without_query_is_refused_by_column(spark):
 
     with pytest.raises(ValueError):
         TableView(from_bytes(spark, b"a\n1\n")).sorted(SortKey(3))
+
+
+def test_a_layout_is_kept_when_the_columns_are_as_many():
+    layout = GridLayout([2, 0, 1], [True, False, True])
+    assert layout.reopened(3) == layout and layout.reopened(3) is not layout
+    assert layout.reopened(4) == GridLayout.of(4)
