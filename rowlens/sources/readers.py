@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -15,13 +16,16 @@ from rowlens.functions.render import render
 from rowlens.functions.text import looks_numeric
 from rowlens.model import RAGGED, RID, ColumnInfo, Dialect, Format, Inferred, SourceError, TableSchema
 from rowlens.sources import sniff
+from rowlens.sources.arrays import element_groups
 from rowlens.sources.ordinals import by_row_index, file_counts, rows_between
-from rowlens.sources.records import MARK, Records, Rule, read_records
+from rowlens.sources.records import Records, Rule, kept, numbered_anew, read_records
 
 SAMPLE_RECORDS = 200
 #: Most characters of a field of delimited text.
 RECORD_CAP = 64 << 20
 
+NO_ARRAY = "what was read is no JSON array"
+
 _INTEGER = r"^[+-]?[0-9]+$"
 
 
@@ -248,18 +252,27 @@ def read_json_lines(spark: SparkSession, path: str) -> Source:
     return _json_source(spark, path, Format.JSON_LINES, records.data, encoding, records)
 
 
+def _elements(spark: SparkSession, path: str, end: str) -> DataFrame:
+    """RID and value of the elements of arrays, in order of RID within each part."""
+    groups = element_groups(spark, path, end)
+    rows = F.coalesce("rows", F.raise_error(F.lit(NO_ARRAY)).cast("array<string>"))
+    found = numbered_anew(groups.select("_f", "_g", rows.alias("rows")))
+    return found.select(F.col("_n").cast("long").alias(RID), "value").sortWithinPartitions(RID)
+
+
 def read_json_array(spark: SparkSession, path: str) -> Source:
-    """One top-level array per file; its elements are the records. One that can't be parsed is an error.
+    """One top-level array per file; its elements are the records, numbered over all files. One that can't be parsed is an error.
 
-    A file is parsed as one value, so it must fit a task.
+    The elements are kept beside the indexes, so that a file is cut once.
     """
-    whole = spark.read.text(path, wholetext=True)
-    body = F.btrim(F.ltrim("value", F.lit(MARK)), F.lit(SPACES))
-    items = whole.select(F.from_json(body, "array<string>").alias("items"), (body == "").alias("empty"))
-    if not items.filter(F.col("items").isNull() & ~F.col("empty")).isEmpty():
-        raise SourceError(f"{path} is no JSON array")
-    records = items.select(F.posexplode("items").alias("i", "value")).select(F.col("i").cast("long").alias(RID), "value")
-    return _json_source(spark, path, Format.JSON_ARRAY, records, "utf-8")
+    head = sniff.encoding_of(sniff.read_head(spark, path))[1]
+    objects = re.match(rb"\s*\[\s*\{", head)
+    try:
+        elements = kept(spark, path, ["array"], lambda: _elements(spark, path, "}" if objects else ","))
+    except Exception as e:
+        raise SourceError(f"{path} is no JSON array") if NO_ARRAY in str(e) else e
+    between = lambda start, end: elements.filter((F.col(RID) >= start) & (F.col(RID) < end))
+    return _json_source(spark, path, Format.JSON_ARRAY, elements, "utf-8", Records(elements, elements.count(), 0, between))
 
 
 def _parquet_inferred(kind: T.DataType) -> Inferred:

@@ -86,7 +86,7 @@ class Rule:
         return F.when(F.contains(record, F.lit(self.quote)), F.size(self.fields(record))).otherwise(plain) != self.width
 
 
-def lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+def lines(spark: SparkSession, path: str, encoding: str, end: str = "\n") -> DataFrame:
     """_f, _s, _m, _bytes, value: file, its split's start, a number that grows within a split, the line's bytes, and the line without a mark."""
     if encoding.startswith("UTF-16"):  # a line's end is two bytes, so a file is one split
         whole = spark.read.format("binaryFile").load(path).select(F.col("path").alias("_f"), F.decode("content", encoding).alias("value"))
@@ -95,7 +95,7 @@ def lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
         found = found.select("_f", F.lit(0).cast("long").alias("_s"), (F.shiftleft("file", 31) + F.col("i")).alias("_m"), "value")
     else:
         value = F.col("value") if encoding == "UTF-8" else F.decode(F.col("value").cast("binary"), encoding)
-        found = spark.read.option("lineSep", "\n").text(path)
+        found = spark.read.option("lineSep", end).text(path)
         found = found.select(F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_m"), value.alias("value"))
     found = found.withColumn("_bytes", F.octet_length("value").cast("long") + 1)
     value = F.when((F.col("_s") == 0) & F.startswith("value", F.lit(MARK)), F.ltrim("value", F.lit(MARK))).otherwise(F.col("value"))
@@ -128,10 +128,14 @@ def _split_bytes(spark: SparkSession, files: list[tuple[str, int, int]]) -> list
 
 
 def index_folder(spark: SparkSession) -> str:
-    """spark.rowlens.index.dir, else a folder beside the checkpoints, else (in local sessions) one for temporary files."""
+    """spark.rowlens.index.dir, else a folder beside the checkpoints, else (in local sessions only) one for temporary files."""
     own = spark.conf.get("spark.rowlens.index.dir", None)
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return own or (f"{shared.rstrip('/')}/rowlens-index" if shared else f"file://{tempfile.gettempdir()}/rowlens-index")
+    if own or shared:
+        return own or f"{shared.rstrip('/')}/rowlens-index"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.rowlens.index.dir or spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/rowlens-index"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -172,33 +176,43 @@ def _count(spark: SparkSession, path: str, encoding: str, rule: Rule) -> DataFra
     )
 
 
-def index(spark: SparkSession, path: str, encoding: str, rule: Rule) -> DataFrame:
-    """The index of a source, from where it is kept if nothing has changed since."""
+def kept(spark: SparkSession, path: str, how: list, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make gives of a source, from where it is kept if neither the source nor how it is read has changed since."""
     files = _files(spark, path)
-    key = json.dumps([spark.version, ANCHOR, files, _split_bytes(spark, files), encoding, rule.delimiter, rule.quote, rule.width])
+    key = json.dumps([spark.version, files, _split_bytes(spark, files), *how])
     source = f"{stable_hash(path):016x}"
     name = f"{source}-{hashlib.sha256(key.encode()).hexdigest()[:32]}"
     folder = index_folder(spark)
-    kept, fs = _fs(spark, f"{folder}/{name}")
-    if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(kept, "_SUCCESS")):
-        return spark.read.parquet(kept.toString())
+    place, fs = _fs(spark, f"{folder}/{name}")
+    if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place, "_SUCCESS")):
+        return spark.read.parquet(place.toString())
     made, _ = _fs(spark, f"{folder}/.{uuid.uuid4().hex}")
-    _count(spark, path, encoding, rule).write.parquet(made.toString())
+    try:
+        make().write.parquet(made.toString())
+    except Exception:
+        fs.delete(made, True)
+        raise
     for old in fs.listStatus(made.getParent()):
         if old.getPath().getName().startswith(f"{source}-"):  # of the same source as it was, or read otherwise
             fs.delete(old.getPath(), True)
-    if not fs.rename(made, kept):
+    if not fs.rename(made, place):
         return spark.read.parquet(made.toString())
-    return spark.read.parquet(kept.toString())
+    return spark.read.parquet(place.toString())
+
+
+def index(spark: SparkSession, path: str, encoding: str, rule: Rule) -> DataFrame:
+    """The index of a source."""
+    return kept(spark, path, [ANCHOR, encoding, rule.delimiter, rule.quote, rule.width], lambda: _count(spark, path, encoding, rule))
 
 
 # Records with their ordinals
 
 
-def _joined(found: DataFrame, rule: Rule) -> DataFrame:
-    """_f, _g, value: the lines of each record put together; _g numbers them in their file."""
-    opens, closed = rule.opens(F.col("value")), rule.opens(F.concat(F.lit(rule.quote), F.col("value")))
-    found = found.withColumns({"out": opens, "in": closed})
+def states(found: DataFrame) -> DataFrame:
+    """found (_f, _s, _m, out, in) with within: whether each line begins within quotes.
+
+    out and in say how a line ends that begins outside quotes, or within them.
+    """
     fixed = F.col("out") == F.col("in")
     found = found.withColumn("swap", (F.col("out") & ~F.col("in")).cast("int"))
     split = Window.partitionBy("_f", "_s").orderBy("_m")
@@ -218,15 +232,31 @@ def _joined(found: DataFrame, rule: Rule) -> DataFrame:
     begin = F.coalesce(F.col("set_last.sets"), F.lit(False)) != odd(F.col("so_far") - F.coalesce(F.col("set_last.total"), F.lit(0)))
     found = found.join(ends.select("_f", "_s", begin.alias("begin")), ["_f", "_s"])
     within = F.coalesce(F.col("last.out"), F.col("begin")) != odd(F.col("earlier") - F.coalesce(F.col("last.swaps"), F.lit(0)))
-    found = found.select("_f", "_s", "_m", "value", (~within).cast("long").alias("starts"))
+    return found.withColumn("within", within).drop("swap", "swaps", "last", "earlier", "begin")
+
+
+def in_split() -> Window:
+    return Window.partitionBy("_f", "_s").orderBy("_m").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def past_splits() -> Window:
+    """Of a row per split, those before it in its file."""
+    return Window.partitionBy("_f").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _joined(found: DataFrame, rule: Rule) -> DataFrame:
+    """_f, _g, value: the lines of each record put together; _g numbers them in their file."""
+    opens, closed = rule.opens(F.col("value")), rule.opens(F.concat(F.lit(rule.quote), F.col("value")))
+    found = states(found.withColumns({"out": opens, "in": closed}))
+    found = found.select("_f", "_s", "_m", "value", (~F.col("within")).cast("long").alias("starts"))
     starts = found.groupBy("_f", "_s").agg(F.sum("starts").alias("n"))
-    starts = starts.select("_f", "_s", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("past"))
-    found = found.join(starts, ["_f", "_s"]).withColumn("_g", F.col("past") + F.sum("starts").over(until) - 1)
+    starts = starts.select("_f", "_s", F.coalesce(F.sum("n").over(past_splits()), F.lit(0)).alias("past"))
+    found = found.join(starts, ["_f", "_s"]).withColumn("_g", F.col("past") + F.sum("starts").over(in_split()) - 1)
     parts = F.array_sort(F.collect_list(F.struct("_s", "_m", "value")))
     return found.groupBy("_f", "_g").agg(F.array_join(F.transform(parts, lambda x: x["value"]), "\n").alias("value"))
 
 
-def _numbered_anew(rows: DataFrame) -> DataFrame:
+def numbered_anew(rows: DataFrame) -> DataFrame:
     """rows (_f, _g, rows) as _f, _n, value: one row per record, numbered over all files in their order."""
     rows = rows.withColumns({"_b": F.floor(F.col("_g") / BUCKET), "size": F.size("rows")})
     sums = rows.groupBy("_f", "_b").agg(F.sum("size").alias("n"))
@@ -317,6 +347,6 @@ def _sliced(spark: SparkSession, anchors: list, rule: Rule, start: int, end: int
 
 def _unindexed(rows: DataFrame, rule: Rule, header: bool) -> Records:
     """Records (_f, _g, value) whose lines had to be put together."""
-    made = _numbered_anew(rows.select("_f", "_g", rule.records(_ended(F.col("value"))).alias("rows")))
+    made = numbered_anew(rows.select("_f", "_g", rule.records(_ended(F.col("value"))).alias("rows")))
     data = _headless(made, made.groupBy("_f").agg(F.min("_n").alias("first")), header)
     return Records(data, None, None, lambda start, end: None)

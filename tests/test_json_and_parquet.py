@@ -1,12 +1,15 @@
 import datetime
 import decimal
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from rowlens.model import RID, Direction, Format, Inferred, RowRange, SortKey, SourceError
 from rowlens.operators.view import TableView, column_stats, open_view
-from rowlens.sources.readers import read_parquet
+from rowlens.sources.arrays import element_groups
+from rowlens.sources.readers import read_json_array, read_parquet
+from rowlens.sources.records import numbered_anew
 
 
 def opened(spark, tmp_path, text, name="t.json"):
@@ -75,6 +78,50 @@ def test_array_of_scalars(spark, tmp_path):
     assert cells(v) == [["1"], ["two"], ["[3]"], [""]]
 
 
+VALUES = [
+    {"s": 'a],{b"\\', "n": [1, {"x": "}"}, []]}, 1, "two, [3]", None, [], [[4, "]"], {}], {"s": "\\", "n": 2}, {"u": "}\n,\t"}, -1.5, {"s": "", "n": {"s": "{[\""}}, {}, "\\\\"
+]
+
+
+@pytest.mark.parametrize(("end", "most"), [("}", "50"), (",", "50"), ("}", "1m"), (",", "1m"), ("]", "200"), ("\n", "200"), ('"', "200")])
+def test_arrays_are_cut_anywhere(spark, tmp_path, end, most):
+    values = VALUES * 3
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    try:
+        for i, indent in enumerate((None, 1)):
+            (tmp_path / f"{i}.json").write_text(" " + json.dumps(values, indent=indent) + ' junk ] [ {"a":1}')
+        groups = element_groups(spark, str(tmp_path), end)
+        assert not groups.filter(F.col("rows").isNull()).count()
+        found = [json.loads(f"[{r['value']}]" if r["value"] and r["value"][0] in "[{" else json.dumps([r["value"]]))[0] for r in numbered_anew(groups).orderBy("_n").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    plain = [v if isinstance(v, (dict, list)) or v is None else v if isinstance(v, str) else json.dumps(v) for v in values]
+    assert found == plain * 2
+
+
+def test_elements_are_kept_until_the_file_changes(spark, tmp_path):
+    v = opened(spark, tmp_path, '[{"a":1},{"a":2},{"a":3}]')
+    assert v.count() == 3 and v.fetch(RowRange(1, 5)).rows == [["2"], ["3"]] and v.data_quality().ragged_rows == 0
+    again = open_view(spark, str(tmp_path / "t.json"))
+    assert again.source.records.data.inputFiles() == v.source.records.data.inputFiles()
+    assert "PushedFilters: [IsNotNull" in again.window(RowRange(1, 1))._jdf.queryExecution().toString()
+    assert cells(opened(spark, tmp_path, '[{"a":12}]')) == [["12"]]
+
+
+@pytest.mark.parametrize("text", ['[{"a":1}', '[{"a":1}, {"a":', '{"a":1}]', '[{"a":1}}, {"a":2}]', '["a', "[1, 2", "x"])
+def test_what_is_no_array(spark, tmp_path, text):
+    (tmp_path / "t.json").write_text(text)
+    with pytest.raises(SourceError):
+        read_json_array(spark, str(tmp_path / "t.json"))
+
+
+def test_blank_files_and_stray_commas(spark, tmp_path):
+    for text, rows in (("", []), (" \n", []), ("[ ]", []), ("[1,2,]", [["1"], ["2"]]), ('[{"a":1},]', [["1"]]), ("\ufeff[1]", [["1"]])):
+        (tmp_path / "t.json").write_text(text)
+        assert cells(TableView(read_json_array(spark, str(tmp_path / "t.json")))) == rows
+
+
 def test_empty_and_malformed_arrays(spark, tmp_path):
     assert cells(opened(spark, tmp_path, "[]")) == []
     with pytest.raises(SourceError):
