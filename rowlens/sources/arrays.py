@@ -21,7 +21,8 @@ _INSIDE = r'(?:[^"\\]++|\\.)*+'
 
 def _opens(text: Column) -> Column:
     """Whether text, which begins outside strings, ends within one."""
-    return text.rlike(rf'(?s)\A(?:[^"]++|"{_INSIDE}")*+"{_INSIDE}\z')
+    odd = (F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))) % 2 == 1
+    return F.when(F.contains(text, F.lit("\\")), text.rlike(rf'(?s)\A(?:[^"]++|"{_INSIDE}")*+"{_INSIDE}\z')).otherwise(odd)
 
 
 def _brackets(text: Column) -> Column:
